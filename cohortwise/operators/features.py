@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortwise.operators.grouping import grouped
 from cohortwise.sources.tables import CohortTables
 
 FEATURES = ["att_rate", "avg_grade", "logins", "video_sec", "failed_c"]
@@ -16,8 +18,8 @@ def _parts(t: CohortTables, wanted: set[str]) -> list[DataFrame]:
     """Narrow per-fact inputs sharing the column ``student_id``."""
     parts = []
     if "att_rate" in wanted:
-        hit = F.when(F.col("status") == "attended", 1.0).otherwise(0.0)
-        parts.append(t.get("attendance", "student_id", "status").select("student_id", hit.alias("hit")))
+        hit = F.when(F.col("status") == "attended", 1.0).otherwise(0.0).alias("hit")
+        parts.append(t.get("attendance", "student_id", "status").select("student_id", hit))
     if "avg_grade" in wanted:
         grades = t.get("grades", "student_id", "score")
         parts.append(grades.withColumn("graded", F.lit(1)))
@@ -50,6 +52,21 @@ def _measures() -> dict[str, Column]:
     }
 
 
+# Rows behind the two measures that can be required.
+_PRESENCE = {"att_rate": "att_rows", "avg_grade": "grade_rows"}
+
+
+def _measured(t: CohortTables, wanted: Sequence[str], required: Sequence[str]) -> DataFrame:
+    parts = _parts(t, {*wanted, *required})
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = {"att_rate": F.count("hit"), "avg_grade": F.count("graded")}
+    measures = _measures()
+    return grouped(stacked, "student_id").agg(
+        *[measures[name].alias(name) for name in wanted],
+        *[rows[name].alias(_PRESENCE[name]) for name in required],
+    )
+
+
 def student_metrics(
     t: CohortTables, *wanted: str, required: Sequence[str] = ()
 ) -> DataFrame:
@@ -58,27 +75,23 @@ def student_metrics(
     All facts are stacked and aggregated together: one shuffle on the student
     key, with partial sums built before it, in place of a full outer join per
     fact. ``required`` keeps only students with attendance (``att_rate``)
-    and/or grade rows (``avg_grade``).
+    and/or grade rows (``avg_grade``). A stored ``student_metrics`` table
+    (see :func:`all_metrics`) is used when there is one.
     """
-    parts = _parts(t, set(wanted) | set(required))
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    presence = {"att_rate": F.count("hit"), "avg_grade": F.count("graded")}
-    measures = _measures()
-    result = (
-        stacked.na.drop(subset=["student_id"])
-        .groupBy("student_id")
-        .agg(
-            *[measures[name].alias(name) for name in wanted],
-            *[presence[name].alias(f"_{name}") for name in required],
-        )
-    )
+    if t.has("student_metrics"):
+        result = t.get("student_metrics")
+    else:
+        result = _measured(t, wanted, required)
     for name in required:
-        result = result.where(F.col(f"_{name}") > 0)
+        result = result.where(F.col(_PRESENCE[name]) > 0)
     return result.select("student_id", *wanted)
 
 
+def all_metrics(t: CohortTables) -> DataFrame:
+    """Every measure with its row counts, for storing and sharing between reports."""
+    return _measured(t, FEATURES, list(_PRESENCE))
+
+
 def student_features(t: CohortTables) -> DataFrame:
     """All five measures, 0 where a student has none."""
     return student_metrics(t, *FEATURES).na.fill(0, subset=FEATURES)

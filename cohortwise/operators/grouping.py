@@ -66,12 +66,14 @@ def scalars(df: DataFrame, **named: Column) -> DataFrame:
     return df.agg(*[expr.alias(name) for name, expr in named.items()])
 
 
-def scalar_struct(df: DataFrame, **named: Column) -> Column:
-    """Whole-table aggregates as one struct, usable inside other expressions.
+def with_scalars(df: DataFrame, of: DataFrame, out: str, **named: Column) -> DataFrame:
+    """Add whole-table aggregates of ``of`` to every row of ``df`` as one struct.
 
-    This is a scalar subquery: evaluated once, handed to every task as a value.
+    The struct is a scalar subquery: evaluated once and handed to every task as
+    a value, without a join. Read its fields as ``out.name``.
     """
-    return df.agg(F.struct(*[expr.alias(name) for name, expr in named.items()])).scalar()
+    packed = of.agg(F.struct(*[expr.alias(name) for name, expr in named.items()]))
+    return df.withColumn(out, packed.scalar())
 
 
 def where_vs_mean(df: DataFrame, col: str, op: str = "<") -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.functions.periods import period_key
+from cohortwise.functions.periods import period_start
 from cohortwise.functions.scalars import clip
-from cohortwise.operators.grouping import count_by
+from cohortwise.operators.grouping import count_by, with_scalars
 from cohortwise.operators.scaling import unit_scaled
 
 # Weights of the four risk measures.
@@ -26,7 +27,7 @@ def middle_period(df: DataFrame, period: str) -> Column:
 def activity_decline(events: DataFrame, ts: str, grain: str = "month") -> DataFrame:
     """Mean events per active period, first half minus second half, per student."""
     per_period = count_by(
-        events.withColumn("period", period_key(ts, grain)), ["student_id", "period"], "events"
+        events.withColumn("period", period_start(ts, grain)), ["student_id", "period"], "events"
     )
     early = F.col("period") <= middle_period(per_period, "period")
     halves = per_period.groupBy("student_id").agg(
@@ -49,13 +50,13 @@ def _exposure() -> dict[str, Column]:
 def risk_score(df: DataFrame, weights: Mapping[str, float] = RISK_WEIGHTS) -> DataFrame:
     """Add ``risk_score``: weighted sum of the min-max scaled exposures, times 100."""
     exposure = _exposure()
-    ends = [F.struct(F.min(e).alias("lo"), F.max(e).alias("hi")).alias(n) for n, e in exposure.items()]
-    stats = df.agg(F.struct(*ends)).scalar()
+    exposed = df.withColumns({f"_x_{name}": value for name, value in exposure.items()})
+    ends = {f"{name}_lo": F.min(value) for name, value in exposure.items()}
+    ends |= {f"{name}_hi": F.max(value) for name, value in exposure.items()}
+    scored = with_scalars(exposed, df, "_ends", **ends)
     terms = [
-        unit_scaled(exposure[name], stats[name]["lo"], stats[name]["hi"]) * float(weight)
-        for name, weight in weights.items()
+        unit_scaled(F.col(f"_x_{n}"), F.col(f"_ends.{n}_lo"), F.col(f"_ends.{n}_hi")) * float(w)
+        for n, w in weights.items()
     ]
-    score = terms[0]
-    for term in terms[1:]:
-        score = score + term
-    return df.withColumn("risk_score", score * 100)
+    score = reduce(lambda a, b: a + b, terms) * 100
+    return scored.withColumn("risk_score", score).select(*df.columns, "risk_score")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.operators.grouping import scalar_struct
+from cohortwise.operators.grouping import with_scalars
 
 
 def unit_scaled(value: Column, low: Column, high: Column) -> Column:
@@ -18,19 +18,19 @@ def unit_scaled(value: Column, low: Column, high: Column) -> Column:
 
 def min_max_norm(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ends = {f"{c}_lo": F.min(c) for c in cols} | {f"{c}_hi": F.max(c) for c in cols}
-    stats = scalar_struct(df, **ends)
-    return df.withColumns(
-        {c: unit_scaled(F.col(c), stats[f"{c}_lo"], stats[f"{c}_hi"]) for c in cols}
-    )
+    scaled = {
+        c: unit_scaled(F.col(c), F.col(f"_ends.{c}_lo"), F.col(f"_ends.{c}_hi")) for c in cols
+    }
+    return with_scalars(df, df, "_ends", **ends).withColumns(scaled).drop("_ends")
 
 
 def zscore(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Centre and divide by the population deviation; a constant column becomes 0."""
     parts = {f"{c}_mean": F.avg(c) for c in cols} | {f"{c}_sd": F.stddev_pop(c) for c in cols}
-    stats = scalar_struct(df, **parts)
 
     def scaled(c: str) -> Column:
-        z = F.try_divide(F.col(c) - stats[f"{c}_mean"], stats[f"{c}_sd"])
+        z = F.try_divide(F.col(c) - F.col(f"_parts.{c}_mean"), F.col(f"_parts.{c}_sd"))
         return F.when(F.col(c).isNotNull(), F.coalesce(z, F.lit(0.0)))
 
-    return df.withColumns({c: scaled(c) for c in cols})
+    found = with_scalars(df, df, "_parts", **parts)
+    return found.withColumns({c: scaled(c) for c in cols}).drop("_parts")

@@ -10,7 +10,6 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from cohortwise.operators.features import FEATURES
 from cohortwise.operators.ordering import exact_quantiles
@@ -25,9 +24,13 @@ AVERAGE = "📈 Average / Improving"
 
 
 def best_kmeans(
-    points: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10, parallelism: int = 4
+    points: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10, parallelism: int = 10
 ) -> KMeansModel:
-    """The cheapest of ``n_init`` fits on the ``features`` vector column."""
+    """The cheapest of ``n_init`` fits on the ``features`` vector column.
+
+    The fits are independent Spark jobs, ``parallelism`` of them at a time, so
+    that short iterations of one fill the gaps left by another.
+    """
     spark = points.sparkSession
 
     def fit(number: int) -> KMeansModel:
@@ -44,18 +47,13 @@ def cluster_students(
 ) -> DataFrame:
     """Add ``cluster``: k-means on the z-scored columns, best of several starts."""
     cols = list(cols)
-    kept = pinned(features)  # read by every fit and again by the assignment
-    scaled = zscore(kept.select("student_id", *cols), cols)
-    points = (
-        VectorAssembler(inputCols=cols, outputCol="features")
-        .transform(scaled)
-        .select("student_id", "features")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # Scaled copies go into the vector; every fit and the assignment read the pinned frame.
+    shadow = features.withColumns({f"z_{c}": F.col(c).cast("double") for c in cols})
+    scaled = zscore(shadow, [f"z_{c}" for c in cols])
+    assembler = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features")
+    points = pinned(assembler.transform(scaled).select("student_id", *cols, "features"))
     model = best_kmeans(points, k, seed, n_init)
-    points.unpersist()
-    assigned = model.transform(points).select("student_id", F.col("prediction").alias("_found"))
-    clustered = kept.join(assigned, "student_id")
+    clustered = model.transform(points).withColumnRenamed("prediction", "_found").drop("features")
     # k rows: cluster numbers follow the mean grade, so they do not depend on the fit.
     order = Window.orderBy(F.desc("_grade"), F.desc("_att"), "_found")
     numbers = (

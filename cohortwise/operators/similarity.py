@@ -6,24 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions import aggregates as A
+from cohortwise.operators.grouping import mean_by
 
 
 def concept_profiles(concepts: DataFrame, members: DataFrame) -> DataFrame:
     """Mean ``score_pct`` per (group, concept).
 
-    Results are summed per student before meeting the membership list, so the
-    join sees one row per (student, concept).
+    The membership list is broadcast when its measured size allows. Otherwise
+    both sides meet on the student, and adaptive execution splits a student
+    holding very many results. Only group means are shuffled afterwards.
     """
-    own = (
-        concepts.na.drop(subset=["student_id", "concept_name", "score_pct"])
-        .groupBy("student_id", "concept_name")
-        .agg(F.sum("score_pct").alias("_sum"), F.count("score_pct").alias("_n"))
-    )
+    results = concepts.na.drop(subset=["concept_name", "score_pct"])
     listed = members.select("student_id", "group_id").na.drop().distinct()
-    return (
-        own.join(listed, "student_id")
-        .groupBy("group_id", "concept_name")
-        .agg((F.sum("_sum") / F.sum("_n")).alias("level"))
+    return mean_by(
+        results.join(listed, "student_id"), ["group_id", "concept_name"], "score_pct", "level"
     )
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions import aggregates as A
 from cohortwise.functions import bands as B
-from cohortwise.functions.periods import day_name, month_key, month_name, week_key
+from cohortwise.functions.periods import (
+    month_key, month_start, name_of_day, name_of_month, week_key, week_start,
+)
 from cohortwise.functions.scalars import map_values
 from cohortwise.operators.features import student_metrics
 from cohortwise.operators.grouping import (
-    agg_by, arg_extreme, count_by, rate_by, scalars, share,
+    agg_by, arg_extreme, count_by, rate_by, scalars, share, with_scalars,
 )
 from cohortwise.operators.reshape import dense_long, pivot_days, pivot_rate
 from cohortwise.plans.overview import concept_fail
@@ -87,12 +89,13 @@ def worst_concept_trend(t: CohortTables) -> DataFrame:
     """Monthly pass rate and attempts of the concept failed most."""
     results = t.get("concepts", "concept_name", "mastery_status", "timestamp")
     own = results.where(F.col("concept_name") == _worst_concept(t)).withColumn(
-        "month", month_key("timestamp")
+        "start", month_start("timestamp")
     )
-    return agg_by(
-        own, "month",
+    months = agg_by(
+        own, "start",
         pass_rate=A.rate_of("mastery_status", "passed"), attempts=F.count("mastery_status"),
     )
+    return months.select(month_key("start").alias("month"), "pass_rate", "attempts")
 
 
 def worst_concept_change(t: CohortTables) -> DataFrame:
@@ -114,17 +117,21 @@ def weekly_timeline(t: CohortTables, trim_edges: bool = False) -> DataFrame:
 
     ``trim_edges`` drops the first and last week, which are usually partial.
     """
-    sessions = t.get("attendance", "session_datetime", "status").withColumn(
-        "week", week_key("session_datetime")
+    sessions = t.get("attendance", "session_datetime", "status").select(
+        week_start("session_datetime").alias("start"), "status"
+    )
+    events = t.get("engagement", "event_datetime").select(
+        week_start("event_datetime").alias("start")
     )
-    events = t.get("engagement", "event_datetime").withColumn("week", week_key("event_datetime"))
-    weeks = rate_by(sessions, "week", "status", "attended", "att_rate").join(
-        count_by(events, "week", "events"), "week", "full"
+    weeks = rate_by(sessions, "start", "status", "attended", "att_rate").join(
+        count_by(events, "start", "events"), "start", "full"
     )
-    if not trim_edges:
-        return weeks
-    ends = weeks.agg(F.struct(F.min("week").alias("first"), F.max("week").alias("last"))).scalar()
-    return weeks.where((F.col("week") > ends["first"]) & (F.col("week") < ends["last"]))
+    if trim_edges:
+        ends = with_scalars(weeks, weeks, "_ends", first=F.min("start"), last=F.max("start"))
+        weeks = ends.where(
+            (F.col("start") > F.col("_ends.first")) & (F.col("start") < F.col("_ends.last"))
+        )
+    return weeks.select(week_key("start").alias("week"), "att_rate", "events")
 
 
 def weekly_timeline_trimmed(t: CohortTables) -> DataFrame:
@@ -140,11 +147,10 @@ def dip_week(t: CohortTables) -> DataFrame:
 def month_dow_heatmap(t: CohortTables) -> DataFrame:
     """Attendance rate per month name and day name."""
     sessions = t.get("attendance", "session_datetime", "status").select(
-        month_name("session_datetime").alias("month"),
-        day_name("session_datetime").alias("dow"),
-        "status",
+        F.month("session_datetime").alias("m"), F.weekday("session_datetime").alias("d"), "status"
     )
-    return rate_by(sessions, ["month", "dow"], "status", "attended", "rate")
+    rates = rate_by(sessions, ["m", "d"], "status", "attended", "rate")
+    return rates.select(name_of_month("m").alias("month"), name_of_day("d").alias("dow"), "rate")
 
 
 def month_dow_grid(t: CohortTables) -> DataFrame:

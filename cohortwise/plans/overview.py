@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions import aggregates as A
-from cohortwise.functions.periods import month_key
+from cohortwise.functions.periods import month_key, month_start
 from cohortwise.functions.scalars import flag_below, gap_size, vs_mean_flag
 from cohortwise.operators.features import student_metrics
 from cohortwise.operators.grouping import (
@@ -74,19 +74,22 @@ def group_health(t: CohortTables) -> DataFrame:
 
 
 def monthly_attendance(t: CohortTables) -> DataFrame:
-    sessions = t.get("attendance", "session_datetime", "status").withColumn(
-        "month", month_key("session_datetime")
+    sessions = t.get("attendance", "session_datetime", "status").select(
+        month_start("session_datetime").alias("start"), "status"
     )
-    return rate_by(sessions, "month", "status", "attended", "attendance_rate")
+    rates = rate_by(sessions, "start", "status", "attended", "attendance_rate")
+    return rates.select(month_key("start").alias("month"), "attendance_rate")
 
 
 def group_month_attendance(t: CohortTables) -> DataFrame:
     """Attendance rate per month and known group."""
-    sessions = t.get("attendance", "group_id", "session_datetime", "status").withColumn(
-        "month", month_key("session_datetime")
+    sessions = t.get("attendance", "group_id", "session_datetime", "status").select(
+        month_start("session_datetime").alias("start"), "group_id", "status"
+    )
+    rates = rate_by(sessions, ["start", "group_id"], "status", "attended", "rate")
+    return rates.join(t.get("groups", "group_id", "group_name"), "group_id").select(
+        month_key("start").alias("month"), "group_id", "rate", "group_name"
     )
-    rates = rate_by(sessions, ["month", "group_id"], "status", "attended", "rate")
-    return rates.join(t.get("groups", "group_id", "group_name"), "group_id")
 
 
 def grade_by_course(t: CohortTables) -> DataFrame:

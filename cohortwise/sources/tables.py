@@ -35,3 +35,11 @@ class CohortTables:
         """The named columns of a table, or all of them when none are named."""
         df = self._providers[name](columns)
         return df.select(*columns) if columns else df
+
+    def has(self, name: str) -> bool:
+        return name in self._providers
+
+    def with_table(self, name: str, df: DataFrame) -> CohortTables:
+        """The same tables and one more, or one replaced."""
+        more = CohortTables.from_frames({name: df})
+        return CohortTables(self._providers | more._providers)
