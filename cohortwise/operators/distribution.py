@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.operators.grouping import count_by, names
+from cohortwise.operators.grouping import count_by, known, names
 from cohortwise.operators.ordering import quantiles_of_blocks, value_blocks
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -15,10 +15,10 @@ _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 def _moments(blocks: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Count, mean and sample deviation from distinct values and their copies."""
-    known = F.sum(F.when(F.col(col).isNotNull(), F.col("copies")).otherwise(0))
+    filled = F.sum(F.when(F.col(col).isNotNull(), F.col("copies")).otherwise(0))
     weighted = F.sum(F.col(col) * F.col("copies"))
     centres = blocks.groupBy(*keys).agg(
-        known.alias("n"), F.try_divide(weighted, known).alias("mean")
+        filled.alias("n"), F.try_divide(weighted, filled).alias("mean")
     )
     off = F.col(col) - F.col("mean")
     squares = (
@@ -46,7 +46,8 @@ def describe_by(df: DataFrame, keys: str | Sequence[str], col: str) -> DataFrame
 
 
 def _fenced(blocks: DataFrame, keys: list[str], col: str, reach: float) -> DataFrame:
-    """Each distinct value beside its key's quartiles and fences."""
+    """Each distinct known value beside its key's quartiles and fences."""
+    blocks = known(blocks, [col])
     quartiles = quantiles_of_blocks(blocks, keys, col, _QUARTILES)
     step = (F.col("q3") - F.col("q1")) * F.lit(reach)
     fences = quartiles.withColumns(
