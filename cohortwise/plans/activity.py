@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.functions import aggregates as A
 from cohortwise.functions import bands as B
 from cohortwise.functions.periods import (
-    month_key, month_start, name_of_day, name_of_month, week_key, week_start,
+    month_key, name_of_day, name_of_month, week_key, week_start,
 )
 from cohortwise.functions.scalars import map_values
 from cohortwise.operators.features import student_metrics
 from cohortwise.operators.grouping import (
-    agg_by, arg_extreme, count_by, rate_by, scalars, share, with_scalars,
+    agg_by, arg_extreme, count_by, scalars, share, with_scalars,
 )
 from cohortwise.operators.reshape import dense_long, pivot_days, pivot_rate
+from cohortwise.operators.rollups import (
+    attendance_days, attendance_rate, concept_months, result_rate,
+)
 from cohortwise.plans.overview import concept_fail
 from cohortwise.sources.tables import CohortTables
 
@@ -44,8 +46,8 @@ def event_share_labelled(t: CohortTables) -> DataFrame:
 
 
 def _concept_course_rates(t: CohortTables) -> DataFrame:
-    results = t.get("concepts", "concept_name", "course_id", "mastery_status")
-    return rate_by(results, ["concept_name", "course_id"], "mastery_status", "failed", "fail_rate")
+    keys = ["concept_name", "course_id"]
+    return result_rate(concept_months(t, *keys), keys, "failed", "fail_rate")
 
 
 def concept_fail_by_course(t: CohortTables) -> DataFrame:
@@ -74,11 +76,6 @@ def course_concept_pivot(t: CohortTables, concepts: list[str]) -> DataFrame:
     return pivot_rate(named, "course_name", "concept_name", "fail_rate", concepts)
 
 
-def _worst_concept(t: CohortTables):
-    worst = arg_extreme(concept_fail(t), "fail_rate", "concept_name")
-    return worst.select("concept_name").scalar()
-
-
 def worst_concept(t: CohortTables) -> DataFrame:
     return arg_extreme(concept_fail(t), "fail_rate", "concept_name").select(
         F.col("concept_name").alias("worst_concept")
@@ -86,16 +83,20 @@ def worst_concept(t: CohortTables) -> DataFrame:
 
 
 def worst_concept_trend(t: CohortTables) -> DataFrame:
-    """Monthly pass rate and attempts of the concept failed most."""
-    results = t.get("concepts", "concept_name", "mastery_status", "timestamp")
-    own = results.where(F.col("concept_name") == _worst_concept(t)).withColumn(
-        "start", month_start("timestamp")
-    )
-    months = agg_by(
-        own, "start",
-        pass_rate=A.rate_of("mastery_status", "passed"), attempts=F.count("mastery_status"),
+    """Monthly pass rate and attempts of the concept failed most.
+
+    One pass over the results: the concept is found in the same monthly counts
+    its trend is read from.
+    """
+    months = concept_months(t, "concept_name", "start")
+    fails = result_rate(months, ["concept_name"], "failed", "fail_rate")
+    worst = arg_extreme(fails, "fail_rate", "concept_name").select("concept_name").scalar()
+    own = months.where(F.col("concept_name") == worst).na.drop(subset=["start"])
+    return own.select(
+        month_key("start").alias("month"),
+        (F.col("passed") / F.col("results") * 100).alias("pass_rate"),
+        F.col("known").alias("attempts"),
     )
-    return months.select(month_key("start").alias("month"), "pass_rate", "attempts")
 
 
 def worst_concept_change(t: CohortTables) -> DataFrame:
@@ -117,15 +118,11 @@ def weekly_timeline(t: CohortTables, trim_edges: bool = False) -> DataFrame:
 
     ``trim_edges`` drops the first and last week, which are usually partial.
     """
-    sessions = t.get("attendance", "session_datetime", "status").select(
-        week_start("session_datetime").alias("start"), "status"
-    )
+    rates = attendance_rate(attendance_days(t, "day"), "att_rate", start=week_start("day"))
     events = t.get("engagement", "event_datetime").select(
         week_start("event_datetime").alias("start")
     )
-    weeks = rate_by(sessions, "start", "status", "attended", "att_rate").join(
-        count_by(events, "start", "events"), "start", "full"
-    )
+    weeks = rates.join(count_by(events, "start", "events"), "start", "full")
     if trim_edges:
         ends = with_scalars(weeks, weeks, "_ends", first=F.min("start"), last=F.max("start"))
         weeks = ends.where(
@@ -146,10 +143,9 @@ def dip_week(t: CohortTables) -> DataFrame:
 
 def month_dow_heatmap(t: CohortTables) -> DataFrame:
     """Attendance rate per month name and day name."""
-    sessions = t.get("attendance", "session_datetime", "status").select(
-        F.month("session_datetime").alias("m"), F.weekday("session_datetime").alias("d"), "status"
+    rates = attendance_rate(
+        attendance_days(t, "day"), "rate", m=F.month("day"), d=F.weekday("day")
     )
-    rates = rate_by(sessions, ["m", "d"], "status", "attended", "rate")
     return rates.select(name_of_month("m").alias("month"), name_of_day("d").alias("dow"), "rate")
 
 

@@ -10,7 +10,10 @@ from cohortwise.functions.periods import month_key, month_start
 from cohortwise.functions.scalars import flag_below, gap_size, vs_mean_flag
 from cohortwise.operators.features import student_metrics
 from cohortwise.operators.grouping import (
-    agg_by, count_by, mean_by, rate_by, scalars, top_values, where_vs_mean,
+    agg_by, count_by, scalars, top_values, where_vs_mean,
+)
+from cohortwise.operators.rollups import (
+    attendance_days, attendance_rate, concept_months, result_rate,
 )
 from cohortwise.sources.tables import CohortTables
 
@@ -30,15 +33,12 @@ def student_risk(
 
 
 def concept_fail(t: CohortTables) -> DataFrame:
-    results = t.get("concepts", "concept_name", "mastery_status")
-    return rate_by(results, "concept_name", "mastery_status", "failed", "fail_rate")
+    return result_rate(concept_months(t, "concept_name"), ["concept_name"], "failed", "fail_rate")
 
 
 def group_rates(t: CohortTables) -> DataFrame:
     """Attendance rate per group with the group's and course's names."""
-    rates = rate_by(
-        t.get("attendance", "group_id", "status"), "group_id", "status", "attended", "att_rate"
-    )
+    rates = attendance_rate(attendance_days(t, "group_id"), "att_rate", group_id=F.col("group_id"))
     named = t.get("groups", "group_id", "group_name", "course_id")
     courses = t.get("courses", "course_id", "course_name")
     return rates.join(named, "group_id", "left").join(courses, "course_id", "left")
@@ -74,19 +74,18 @@ def group_health(t: CohortTables) -> DataFrame:
 
 
 def monthly_attendance(t: CohortTables) -> DataFrame:
-    sessions = t.get("attendance", "session_datetime", "status").select(
-        month_start("session_datetime").alias("start"), "status"
+    rates = attendance_rate(
+        attendance_days(t, "day"), "attendance_rate", start=month_start("day")
     )
-    rates = rate_by(sessions, "start", "status", "attended", "attendance_rate")
     return rates.select(month_key("start").alias("month"), "attendance_rate")
 
 
 def group_month_attendance(t: CohortTables) -> DataFrame:
     """Attendance rate per month and known group."""
-    sessions = t.get("attendance", "group_id", "session_datetime", "status").select(
-        month_start("session_datetime").alias("start"), "group_id", "status"
+    rates = attendance_rate(
+        attendance_days(t, "group_id", "day"), "rate",
+        start=month_start("day"), group_id=F.col("group_id"),
     )
-    rates = rate_by(sessions, ["start", "group_id"], "status", "attended", "rate")
     return rates.join(t.get("groups", "group_id", "group_name"), "group_id").select(
         month_key("start").alias("month"), "group_id", "rate", "group_name"
     )
@@ -136,17 +135,14 @@ def platform_kpis(t: CohortTables) -> DataFrame:
     per_student = student_metrics(t, "att_rate", "avg_grade").agg(
         F.struct(F.avg("att_rate").alias("att"), F.avg("avg_grade").alias("grade"))
     ).scalar()
-    group_rate = mean_by(
-        rate_by(t.get("attendance", "group_id", "status"), "group_id", "status", "attended"),
-        [], "rate",
-    ).scalar()
+    group_rate = group_rates(t).agg(F.avg("att_rate")).scalar()
+    all_rows = attendance_rate(attendance_days(t), "rate").scalar()
     rows = F.count(F.lit(1))
     return risk.select(
         "students",
         t.get("groups", "group_id").agg(rows).scalar().alias("groups"),
         t.get("courses", "course_id").agg(rows).scalar().alias("courses"),
-        t.get("attendance", "status").agg(A.rate_of("status", "attended")).scalar()
-        .alias("attendance_pct"),
+        all_rows.alias("attendance_pct"),
         t.get("grades", "score").agg(F.avg("score")).scalar().alias("grade_mean"),
         per_student["att"].alias("mean_student_attendance"),
         per_student["grade"].alias("mean_student_grade"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortwise.operators.features import all_metrics
+from cohortwise.operators.rollups import attendance_days, concept_months
 from cohortwise.plans import activity, cohorts, overview, scores
 from cohortwise.sources.files import load_table
 from cohortwise.sources.sinks import materialize
@@ -23,12 +27,14 @@ def refresh_all(
     root: str,
     event_grain: str = "month",
     date_grain: str | None = None,
+    parallelism: int = 4,
 ) -> dict[str, bool]:
     """Write the raw tables, then every result table from them.
 
     Results read the stored raw tables, so cleaning and joins run once. The
-    student measures and the grade trend feed many results: they are stored
-    first and read back. Returns which tables were replaced.
+    student measures, the attendance and concept rollups and the grade trend
+    feed many results: they are stored first and read back. Returns which
+    tables were replaced.
     """
     done: dict[str, bool] = {}
 
@@ -39,8 +45,15 @@ def refresh_all(
         materialize(tables.get(name), root, f"raw_{name}", skip_empty=False)
         done[f"raw_{name}"] = True
     raw = stored(spark, root)
-    materialize(all_metrics(raw), root, "shared_student_metrics", skip_empty=False)
-    t = raw.with_table("student_metrics", load_table(spark, root, "shared_student_metrics"))
+    shared = {
+        "student_metrics": all_metrics(raw),
+        "attendance_days": attendance_days(raw, "group_id", "day"),
+        "concept_months": concept_months(raw, "concept_name", "course_id", "start"),
+    }
+    t = raw
+    for name, df in shared.items():
+        materialize(df, root, f"shared_{name}", skip_empty=False)
+        t = t.with_table(name, load_table(spark, root, f"shared_{name}"))
 
     results = {
         "agg_student_risk": overview.student_risk,
@@ -75,8 +88,10 @@ def refresh_all(
         "agg_q_q14_df": lambda tables: cohorts.risk_ranking(tables, event_grain),
         "agg_q_q15_trend": lambda tables: scores.grade_trend(tables, date_grain),
     }
-    for name, report in results.items():
-        put(name, report(t))
+    # Independent jobs: a few at a time keep the executors busy between stages.
+    write = inheritable_thread_target(spark)(lambda item: put(item[0], item[1](t)))
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(write, results.items()))
     if done["agg_q_q15_trend"]:
         trend = load_table(spark, root, "agg_q_q15_trend")
         put("agg_q_q15_slopes", scores.slopes_of(trend))
