@@ -65,6 +65,10 @@ def percent_text(col: Column | str, digits: int = 1) -> Column:
     return F.concat(round_half_even(col, digits).cast("string"), F.lit("%"))
 
 
+def title_case(col: Column | str) -> Column:
+    return F.initcap(as_column(col))
+
+
 def vs_mean_flag(col: Column | str, mean: Column) -> Column:
     """``below`` or ``above``, relative to a mean."""
     return F.when(as_column(col) < mean, "below").otherwise("above")

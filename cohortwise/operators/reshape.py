@@ -23,13 +23,20 @@ def pivot_days(df: DataFrame, row: str = "month", col: str = "dow", val: str = "
     return pivot_rate(df, row, col, val, DAYS, fill=None)
 
 
+# Slots over which the column labels of a dense grid are spread.
+_GRID_SLOTS = 64
+
+
 def dense_long(df: DataFrame, row: str, col: str, val: str, fill: float = 0.0) -> DataFrame:
     """Every row label with every column label, in long form.
 
-    The column labels travel as one array of distinct labels (a catalogue, not
-    data), unfolded once per row label; cells without a value get ``fill``.
+    Each column label lives in one slot by its hash and each row label visits
+    every slot, so an ordinary join on the slot yields each cell once and
+    neither label list is gathered anywhere. Cells without a value get ``fill``.
     """
     cells = df.na.drop(subset=[row, col]).groupBy(row, col).agg(F.avg(val).alias(val))
-    labels = cells.select(col).distinct().agg(F.collect_list(col)).scalar()
-    grid = cells.select(row).distinct().withColumn(col, F.explode(labels))
+    slots = F.array(*[F.lit(i) for i in range(_GRID_SLOTS)])
+    visiting = cells.select(row).distinct().withColumn("_slot", F.explode(slots))
+    living = cells.select(col).distinct().withColumn("_slot", F.pmod(F.hash(col), F.lit(_GRID_SLOTS)))
+    grid = visiting.join(living, "_slot").drop("_slot")
     return grid.join(cells, [row, col], "left").na.fill(fill, subset=[val])

@@ -47,13 +47,19 @@ def _exposure() -> dict[str, Column]:
     }
 
 
-def risk_score(df: DataFrame, weights: Mapping[str, float] = RISK_WEIGHTS) -> DataFrame:
-    """Add ``risk_score``: weighted sum of the min-max scaled exposures, times 100."""
+def risk_score(
+    df: DataFrame, weights: Mapping[str, float] = RISK_WEIGHTS, of: DataFrame | None = None
+) -> DataFrame:
+    """Add ``risk_score``: weighted sum of the min-max scaled exposures, times 100.
+
+    The ends of each scale come from ``of``: the same students and measures,
+    possibly without the descriptive columns, so that finding them is cheaper.
+    """
     exposure = _exposure()
     exposed = df.withColumns({f"_x_{name}": value for name, value in exposure.items()})
     ends = {f"{name}_lo": F.min(value) for name, value in exposure.items()}
     ends |= {f"{name}_hi": F.max(value) for name, value in exposure.items()}
-    scored = with_scalars(exposed, df, "_ends", **ends)
+    scored = with_scalars(exposed, df if of is None else of, "_ends", **ends)
     terms = [
         unit_scaled(F.col(f"_x_{n}"), F.col(f"_ends.{n}_lo"), F.col(f"_ends.{n}_hi")) * float(w)
         for n, w in weights.items()

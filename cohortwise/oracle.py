@@ -275,6 +275,14 @@ REPORTS: dict[str, str] = {
     "group_attendance": """SELECT * REPLACE (round(att_rate, 6) AS att_rate),
         CASE WHEN att_rate < (SELECT avg(att_rate) FROM grate) THEN 'below' ELSE 'above' END
             AS vs_mean FROM grate""",
+    "attendance_summary": """SELECT round(avg(att_rate), 6) AS platform_avg,
+        (SELECT group_name FROM grate ORDER BY att_rate, group_id LIMIT 1) AS lowest_group,
+        round(min(att_rate), 6) AS lowest_rate,
+        (SELECT group_name FROM grate ORDER BY att_rate DESC, group_id DESC LIMIT 1)
+            AS highest_group,
+        round(max(att_rate), 6) AS highest_rate,
+        count(*) FILTER (att_rate < (SELECT avg(att_rate) FROM grate)) AS groups_below
+        FROM grate""",
     "low_attendance_groups": """SELECT * REPLACE (round(att_rate, 6) AS att_rate) FROM grate
         WHERE att_rate < (SELECT avg(att_rate) FROM grate)""",
     "group_health": """SELECT group_id, group_name, stated_num_students, true_count,
@@ -309,6 +317,11 @@ REPORTS: dict[str, str] = {
     "score_density_by_type": "SELECT type, x, round(density, 6) AS density FROM density",
     "assessment_type_frequency":
         "SELECT type, count(*) AS count FROM grades WHERE type IS NOT NULL GROUP BY type",
+    "most_volatile_type": """SELECT array_to_string(list_transform(
+            string_split(type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS type,
+        round(s, 6) AS std FROM (
+        SELECT type, stddev_samp(score) AS s FROM grades WHERE type IS NOT NULL GROUP BY type) v
+        ORDER BY s DESC, v.type LIMIT 1""",
     "score_histogram": """SELECT type, least(floor(score * 40 / 100.0::DOUBLE)::INTEGER + 1, 40)
         AS bin, count(*) AS count FROM grades
         WHERE type IS NOT NULL AND score BETWEEN 0 AND 100 GROUP BY 1, 2""",
@@ -378,6 +391,9 @@ REPORTS: dict[str, str] = {
     "top_failing_concepts": """SELECT concept_name, course_id, round(fail_rate, 6) AS fail_rate,
         course_name FROM ccrate LEFT JOIN courses USING (course_id)
         ORDER BY ccrate.fail_rate DESC, concept_name, course_id LIMIT 15""",
+    "biggest_weak_spot": """SELECT concept_name, course_name, round(fail_rate, 6) AS fail_rate
+        FROM ccrate LEFT JOIN courses USING (course_id)
+        ORDER BY ccrate.fail_rate DESC, concept_name, course_id LIMIT 1""",
     "course_concept_grid": """SELECT course_name, concept_name,
         round(coalesce(avg(fail_rate), 0), 6) AS fail_rate
         FROM (SELECT DISTINCT course_name FROM ccrate JOIN courses USING (course_id))

@@ -62,6 +62,11 @@ def top_failing_concepts(t: CohortTables, k: int = 15) -> DataFrame:
     return concept_fail_by_course(t).limit(k)
 
 
+def biggest_weak_spot(t: CohortTables) -> DataFrame:
+    """The concept and course with the highest failure rate."""
+    return concept_fail_by_course(t).limit(1).select("concept_name", "course_name", "fail_rate")
+
+
 def course_concept_grid(t: CohortTables) -> DataFrame:
     """Failure rate for every course with every concept, 0 where never met."""
     courses = t.get("courses", "course_id", "course_name")

@@ -127,13 +127,16 @@ def risk_ranking(t: CohortTables, grain: str = "month") -> DataFrame:
     """Every student's four risk measures and weighted score."""
     measures = student_metrics(t, "att_rate", "avg_grade", "failed_c")
     decline = activity_decline(t, grain).select("student_id", "eng_decline")
-    students = t.get("students", "student_id", "full_name", "course_name", "group_name")
-    gathered = (
-        students.join(measures, "student_id", "left")
-        .join(decline, "student_id", "left")
-        .na.fill(0, subset=["att_rate", "avg_grade", "failed_c", "eng_decline"])
-    )
-    return R.risk_score(gathered)
+
+    def gathered(students: DataFrame) -> DataFrame:
+        return (
+            students.join(measures, "student_id", "left")
+            .join(decline, "student_id", "left")
+            .na.fill(0, subset=["att_rate", "avg_grade", "failed_c", "eng_decline"])
+        )
+
+    named = t.get("students", "student_id", "full_name", "course_name", "group_name")
+    return R.risk_score(gathered(named), of=gathered(t.get("students", "student_id")))
 
 
 def top_at_risk(t: CohortTables, grain: str = "month", k: int = 10) -> DataFrame:

@@ -54,6 +54,20 @@ def group_attendance(t: CohortTables) -> DataFrame:
     )
 
 
+def attendance_summary(t: CohortTables) -> DataFrame:
+    """Mean group rate, lowest and highest group, and how many lie below the mean."""
+    flagged = group_attendance(t)
+    return scalars(
+        flagged,
+        platform_avg=F.avg("att_rate"),
+        lowest_group=F.min_by("group_name", F.struct("att_rate", "group_id")),
+        lowest_rate=F.min("att_rate"),
+        highest_group=F.max_by("group_name", F.struct("att_rate", "group_id")),
+        highest_rate=F.max("att_rate"),
+        groups_below=F.count_if(F.col("vs_mean") == "below"),
+    )
+
+
 def low_attendance_groups(t: CohortTables) -> DataFrame:
     """Groups below the mean of group rates, lowest first."""
     return where_vs_mean(group_rates(t), "att_rate").orderBy("att_rate", "group_id")

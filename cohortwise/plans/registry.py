@@ -24,18 +24,19 @@ def reports(event_grain: str = "month", date_grain: str | None = None) -> dict[s
     """
     plain = [
         overview.platform_kpis, overview.student_risk, overview.concept_fail,
-        overview.group_attendance, overview.low_attendance_groups, overview.group_health,
+        overview.group_attendance, overview.attendance_summary, overview.low_attendance_groups, overview.group_health,
         overview.monthly_attendance, overview.group_month_attendance, overview.grade_by_course,
         overview.risk_by_course, overview.top_cities, overview.students_by_group_course,
         scores.score_by_type, scores.score_box_by_type, scores.score_outliers_by_type,
         scores.score_density_by_type, scores.assessment_type_frequency, scores.score_histogram,
+        scores.most_volatile_type,
         scores.score_by_course, scores.course_grade_gap, scores.score_box_by_course,
         scores.attendance_vs_grade, scores.quartile_grade, scores.attendance_grade_corr,
         scores.attendance_grade_ols, scores.engagement_vs_grade, scores.engagement_grade_corr,
         scores.engagement_grade_ols, scores.submission_timing, scores.timing_band_score,
         scores.late_vs_ontime, scores.submission_ols, scores.score_box_by_lateness,
         activity.event_share, activity.event_share_labelled, activity.concept_fail_by_course,
-        activity.top_failing_concepts, activity.course_concept_grid, activity.worst_concept,
+        activity.top_failing_concepts, activity.biggest_weak_spot, activity.course_concept_grid, activity.worst_concept,
         activity.worst_concept_trend, activity.worst_concept_change, activity.weekly_timeline,
         activity.weekly_timeline_trimmed, activity.dip_week, activity.month_dow_heatmap,
         activity.month_dow_grid, activity.age_band_stats, activity.age_band_leaders,

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions import aggregates as A
 from cohortwise.functions import bands as B
-from cohortwise.functions.scalars import hours_between, in_open_range, seconds_to_hours
+from cohortwise.functions.scalars import (
+    hours_between, in_open_range, map_values, seconds_to_hours, title_case,
+)
 from cohortwise.operators.distribution import (
     box_outliers, box_stats_by, density_by, describe_by, histogram,
 )
 from cohortwise.operators.features import student_metrics
-from cohortwise.operators.grouping import agg_by, first_last, frequency, mean_by, scalars
+from cohortwise.operators.grouping import (
+    agg_by, arg_extreme, first_last, frequency, mean_by, scalars,
+)
 from cohortwise.operators.ordering import quartile_band, rank_within
 from cohortwise.operators.regression import line_from_sums, linreg_by, ols_by
 from cohortwise.sources.tables import CohortTables
 
-# Grid of the density curves.
+# Display names of the assessment types, grid of the density curves.
+TYPE_LABELS = {
+    "quiz": "Quiz",
+    "assignment": "Assignment",
+    "practical": "Practical",
+    "exam": "Exam",
+}
 SCORE_GRID = [float(x) for x in range(0, 101, 5)]
 
 
@@ -47,6 +57,20 @@ def assessment_type_frequency(t: CohortTables) -> DataFrame:
     return frequency(t.get("grades", "type"), "type")
 
 
+def assessment_label_frequency(
+    t: CohortTables, labels: Mapping[str, str] = TYPE_LABELS
+) -> DataFrame:
+    """The same under display names; types without one are left out."""
+    named = t.get("grades", "type").select(map_values("type", labels).alias("label"))
+    return frequency(named, "label")
+
+
+def most_volatile_type(t: CohortTables) -> DataFrame:
+    """The assessment type whose scores spread widest."""
+    widest = arg_extreme(score_by_type(t), "std", "type")
+    return widest.select(title_case("type").alias("type"), "std")
+
+
 def score_histogram(t: CohortTables, bins: int = 40) -> DataFrame:
     return histogram(t.get("grades", "type", "score"), "type", "score", 0.0, 100.0, bins)
 
