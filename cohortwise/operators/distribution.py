@@ -59,11 +59,15 @@ def _fenced(blocks: DataFrame, keys: list[str], col: str, reach: float) -> DataF
 
 
 def box_stats_by(
-    df: DataFrame, keys: str | Sequence[str], col: str, reach: float = 1.5
+    df: DataFrame,
+    keys: str | Sequence[str],
+    col: str,
+    reach: float = 1.5,
+    copies: str | None = None,
 ) -> DataFrame:
     """Quartiles, fences, whisker ends and outlier count per key."""
     keys = names(keys)
-    fenced = _fenced(value_blocks(df, keys, col), keys, col, reach)
+    fenced = _fenced(value_blocks(df, keys, col, copies), keys, col, reach)
     inner = F.when(~F.col("_outside"), F.col(col))
     return fenced.groupBy(*keys, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.sum("copies").alias("n"),

@@ -73,14 +73,18 @@ def quartile_band(
     return banded.withColumn("band", band_label("band_ord", list(labels))).drop("_rank")
 
 
-def value_blocks(df: DataFrame, keys: str | Sequence[str], col: str) -> DataFrame:
+def value_blocks(
+    df: DataFrame, keys: str | Sequence[str], col: str, copies: str | None = None
+) -> DataFrame:
     """Distinct (key, value) pairs with their row count and block number.
 
     Counting equal values first folds heavy ties, so that a value shared by a
     third of all rows is a single row here. A missing value is one more value.
+    ``copies`` names a column saying how many rows an input row stands for.
     """
     keys = names(keys)
-    counts = known(df, keys).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("copies"))
+    rows = F.count(F.lit(1)) if copies is None else F.sum(copies)
+    counts = known(df, keys).groupBy(*keys, col).agg(rows.alias("copies"))
     ranged = counts.repartitionByRange(*keys, col)
     return pinned(ranged.withColumn("_block", F.spark_partition_id()))
 

@@ -17,7 +17,7 @@ from cohortwise.operators.distribution import (
 )
 from cohortwise.operators.features import student_metrics
 from cohortwise.operators.grouping import (
-    agg_by, arg_extreme, first_last, frequency, mean_by, scalars,
+    agg_by, arg_extreme, count_by, first_last, frequency, mean_by, scalars,
 )
 from cohortwise.operators.ordering import quartile_band, rank_within
 from cohortwise.operators.regression import line_from_sums, linreg_by, ols_by
@@ -178,6 +178,9 @@ def engagement_grade_ols(t: CohortTables) -> DataFrame:
 # --- against submission timing ------------------------------------------------------------
 
 
+_PAIR = ["assessment_id", "student_id"]
+
+
 def _buffered(t: CohortTables) -> DataFrame:
     subs = t.get("submissions", "assessment_id", "student_id", "deadline", "submitted_at", "is_late")
     return subs.withColumn("buffer_hours", hours_between("deadline", "submitted_at"))
@@ -189,28 +192,30 @@ def submission_timing(t: CohortTables) -> DataFrame:
     Every grade row of the same assessment and student matches, as in the
     two-key join it reports. Adaptive execution splits over-full join partitions.
     """
-    grades = t.get("grades", "assessment_id", "student_id", "score").where(F.col("score").isNotNull())
     return (
         _buffered(t)
-        .join(grades, ["assessment_id", "student_id"])
+        .join(_known_scores(t), _PAIR)
         .withColumn("band_ord", B.timing_order("buffer_hours"))
         .withColumn("band", B.band_label("band_ord", B.TIMING_LABELS))
     )
 
 
+def _known_scores(t: CohortTables) -> DataFrame:
+    return t.get("grades", *_PAIR, "score").where(F.col("score").isNotNull())
+
+
 def _paired(t: CohortTables, **sub_sums: Column) -> DataFrame:
     """Submission sums beside score sums, one row per (assessment, student).
 
     Sums over the two-key join factor into sums per side, so both sides are
     reduced before they meet and a repeated pair never multiplies into rows.
     """
-    pair = ["assessment_id", "student_id"]
     score = F.col("score").cast("double")
-    scores = agg_by(
-        t.get("grades", *pair, "score").where(F.col("score").isNotNull()), pair,
+    sums = agg_by(
+        _known_scores(t), _PAIR,
         _n=F.count(F.lit(1)).cast("double"), _y=F.sum(score), _yy=F.sum(score * score),
     )
-    return agg_by(_buffered(t), pair, **sub_sums).join(scores, pair)
+    return agg_by(_buffered(t), _PAIR, **sub_sums).join(sums, _PAIR)
 
 
 def timing_band_score(t: CohortTables) -> DataFrame:
@@ -283,7 +288,21 @@ def submission_ols(t: CohortTables, limit: float = 500.0) -> DataFrame:
 
 
 def score_box_by_lateness(t: CohortTables) -> DataFrame:
-    return box_stats_by(submission_timing(t).select("is_late", "score"), "is_late", "score")
+    """Box summary of late and on-time scores; each (pair, score) meets counts only."""
+    sides = F.array(
+        *[
+            F.struct(F.lit(late).alias("is_late"), F.col(name).alias("subs"))
+            for late, name in ((True, "late"), (False, "ontime"))
+        ]
+    )
+    subs = agg_by(
+        t.get("submissions", *_PAIR, "is_late"), _PAIR,
+        late=F.count_if(F.col("is_late")), ontime=F.count_if(~F.col("is_late")),
+    )
+    values = count_by(_known_scores(t), [*_PAIR, "score"], "marks").join(subs, _PAIR)
+    weighed = values.select("score", "marks", F.inline(sides)).where(F.col("subs") > 0)
+    weighed = weighed.withColumn("weight", F.col("marks") * F.col("subs"))
+    return box_stats_by(weighed, "is_late", "score", copies="weight")
 
 
 # --- over successive assessments ----------------------------------------------------------

@@ -90,6 +90,8 @@ def load_store(spark: SparkSession, root: str) -> CohortTables | None:
             return None
         if not set(SCHEMAS[name].names) <= set(frames[name].columns):
             return None
+        frames[name] = to_number(frames[name], DIRTY_NUMBERS.get(name, []))
+        frames[name] = to_timestamp_ntz(frames[name], DIRTY_TIMES.get(name, []))
     if frames["attendance"].isEmpty():
         return None
     return CohortTables.from_frames(frames)
