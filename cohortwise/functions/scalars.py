@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DayTimeIntervalType
+
+_SECONDS = DayTimeIntervalType(DayTimeIntervalType.SECOND, DayTimeIntervalType.SECOND)
 
 
 def as_column(col: Column | str) -> Column:
@@ -48,8 +51,13 @@ def flag_below(limits: Mapping[str, float]) -> Column:
 
 
 def hours_between(later: Column | str, earlier: Column | str) -> Column:
-    """Signed difference in hours, keeping fractions; zone-free for naive timestamps."""
-    return F.timestamp_diff("MICROSECOND", as_column(earlier), as_column(later)) / 3.6e9
+    """Signed difference in hours, keeping fractions.
+
+    Naive timestamps are subtracted as they stand. (``timestamp_diff`` would
+    move readings that a session zone skips when its clocks go forward.)
+    """
+    span = (as_column(later) - as_column(earlier)).cast(_SECONDS)
+    return span.cast("decimal(18,6)").cast("double") / 3600
 
 
 def seconds_to_hours(col: Column | str) -> Column:

@@ -77,13 +77,18 @@ def test_hours_ignore_daylight_saving(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         df = spark.createDataFrame(
-            [(dt.datetime(2024, 3, 10, 3, 30), dt.datetime(2024, 3, 10, 1, 0))],
+            [
+                (dt.datetime(2024, 3, 10, 3, 30), dt.datetime(2024, 3, 10, 1, 0)),
+                (dt.datetime(2024, 3, 10, 4, 0), dt.datetime(2024, 3, 10, 2, 30)),  # skipped hour
+                (dt.datetime(2024, 3, 9, 0, 0), dt.datetime(2023, 3, 9, 0, 0, 0, 500000)),
+            ],
             "a timestamp_ntz, b timestamp_ntz",
         )
-        got = df.select(S.hours_between("a", "b"), S.hours_between("b", "a")).first()
+        got = df.select(S.hours_between("a", "b"), S.hours_between("b", "a")).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
-    assert list(got) == [2.5, -2.5]
+    assert [tuple(r) for r in got[:2]] == [(2.5, -2.5), (1.5, -1.5)]
+    assert got[2][0] == pytest.approx(366 * 24 - 0.5 / 3600, abs=1e-9)
 
 
 def test_scalar_helpers(spark):
