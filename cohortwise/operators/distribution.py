@@ -7,27 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.operators.grouping import count_by, known, names
-from cohortwise.operators.ordering import quantiles_of_blocks, value_blocks
+from cohortwise.operators.grouping import count_by, names
+from cohortwise.operators.ordering import ValueBlocks, quantiles_of, value_blocks
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _moments(blocks: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Count, mean and sample deviation from distinct values and their copies."""
-    filled = F.sum(F.when(F.col(col).isNotNull(), F.col("copies")).otherwise(0))
-    weighted = F.sum(F.col(col) * F.col("copies"))
-    centres = blocks.groupBy(*keys).agg(
-        filled.alias("n"), F.try_divide(weighted, filled).alias("mean")
+def _moments(blocks: ValueBlocks) -> DataFrame:
+    """Count, mean and sample deviation per key."""
+    keys = blocks.keys
+    rows = F.sum("_n")
+    centres = blocks.sizes.groupBy(*keys).agg(
+        rows.alias("n"), F.try_divide(F.sum("_sum"), rows).alias("mean")
     )
-    off = F.col(col) - F.col("mean")
+    off = F.col(blocks.col) - F.col("mean")
     squares = (
-        blocks.join(centres, keys)
+        blocks.with_summary(centres, keys)
         .groupBy(*keys)
         .agg(F.sum(off * off * F.col("copies")).alias("_squares"))
     )
     deviation = F.sqrt(F.try_divide(F.col("_squares"), F.col("n") - 1))
-    return centres.join(squares, keys).withColumn("std", deviation).drop("_squares")
+    return centres.join(squares, keys, "left").withColumn("std", deviation).drop("_squares")
 
 
 def describe_by(df: DataFrame, keys: str | Sequence[str], col: str) -> DataFrame:
@@ -35,26 +35,23 @@ def describe_by(df: DataFrame, keys: str | Sequence[str], col: str) -> DataFrame
 
     A key whose values are all missing keeps its row, with a count of 0.
     """
-    keys = names(keys)
     blocks = value_blocks(df, keys, col)
-    medians = quantiles_of_blocks(blocks, keys, col, {"median": 0.5})
     return (
-        _moments(blocks, keys, col)
-        .join(medians, keys, "left")
-        .select(*keys, "mean", "std", "median", F.col("n").alias("count"))
+        _moments(blocks)
+        .join(quantiles_of(blocks, {"median": 0.5}), blocks.keys, "left")
+        .select(*blocks.keys, "mean", "std", "median", F.col("n").alias("count"))
     )
 
 
-def _fenced(blocks: DataFrame, keys: list[str], col: str, reach: float) -> DataFrame:
+def _fenced(blocks: ValueBlocks, reach: float) -> DataFrame:
     """Each distinct known value beside its key's quartiles and fences."""
-    blocks = known(blocks, [col])
-    quartiles = quantiles_of_blocks(blocks, keys, col, _QUARTILES)
     step = (F.col("q3") - F.col("q1")) * F.lit(reach)
-    fences = quartiles.withColumns(
+    fences = quantiles_of(blocks, _QUARTILES).withColumns(
         {"lower_fence": F.col("q1") - step, "upper_fence": F.col("q3") + step}
     )
-    return blocks.join(fences, keys).withColumn(
-        "_outside", (F.col(col) < F.col("lower_fence")) | (F.col(col) > F.col("upper_fence"))
+    value = F.col(blocks.col)
+    return blocks.with_summary(fences, blocks.keys).withColumn(
+        "_outside", (value < F.col("lower_fence")) | (value > F.col("upper_fence"))
     )
 
 
@@ -67,7 +64,7 @@ def box_stats_by(
 ) -> DataFrame:
     """Quartiles, fences, whisker ends and outlier count per key."""
     keys = names(keys)
-    fenced = _fenced(value_blocks(df, keys, col, copies), keys, col, reach)
+    fenced = _fenced(value_blocks(df, keys, col, copies), reach)
     inner = F.when(~F.col("_outside"), F.col(col))
     return fenced.groupBy(*keys, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.sum("copies").alias("n"),
@@ -82,7 +79,7 @@ def box_outliers(
 ) -> DataFrame:
     """Distinct values beyond the fences, with how often each occurs."""
     keys = names(keys)
-    fenced = _fenced(value_blocks(df, keys, col), keys, col, reach)
+    fenced = _fenced(value_blocks(df, keys, col), reach)
     return fenced.where("_outside").select(*keys, col, "copies")
 
 
@@ -101,9 +98,9 @@ def density_by(
     """
     keys = names(keys)
     blocks = value_blocks(df, keys, col)
-    stats = _moments(blocks, keys, col)
+    stats = _moments(blocks)
     if bandwidth is None:
-        stats = stats.join(quantiles_of_blocks(blocks, keys, col, _QUARTILES), keys)
+        stats = stats.join(quantiles_of(blocks, _QUARTILES), keys)
         spread = F.least(F.col("std"), (F.col("q3") - F.col("q1")) / 1.349)
         width = F.nullif(F.lit(1.059) * spread * F.pow("n", F.lit(-0.2)), F.lit(0.0))
     else:
@@ -113,7 +110,7 @@ def density_by(
     kernel = F.exp(spot * spot * -0.5) * F.col("copies")
     scale = F.col("n") * F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi())
     return (
-        blocks.join(stats.select(*keys, "n", width.alias("bandwidth")), keys)
+        blocks.with_summary(stats.select(*keys, "n", width.alias("bandwidth")), keys)
         .withColumn("x", points)
         .groupBy(*keys, "x", "n", "bandwidth")
         .agg(F.sum(kernel).alias("_mass"))

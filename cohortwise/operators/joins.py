@@ -1,0 +1,31 @@
+"""A join whose one side is expected to be small, with its size checked."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cohortwise.session import pinned
+
+BROADCAST_ROWS = 100_000
+
+
+def join_small(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join ``small`` to ``big`` without moving ``big``, if ``small`` really is small.
+
+    The small side (one row per key, or so) is computed and counted first and
+    broadcast up to ``limit`` rows. Beyond that both sides are shuffled on the
+    keys and adaptive execution splits over-full partitions. Spark would learn
+    the size of an aggregate only after having shuffled the other side as well.
+    """
+    counted = pinned(small)
+    side = F.broadcast(counted) if counted.count() <= limit else counted
+    return big.join(side, list(keys), how)

@@ -8,12 +8,14 @@ A block's offset is the number of rows in the blocks before it.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.bands import QUARTILE_LABELS, band_label, quantile_bin
 from cohortwise.operators.grouping import known, names
+from cohortwise.operators.joins import BROADCAST_ROWS, join_small
 from cohortwise.session import pinned
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition << 33 | row in partition
@@ -57,7 +59,7 @@ def rank_within(
     placed = with_position(known(df, [*keys, *order]), [*keys, *order], "_place")
     starts = placed.groupBy(*keys).agg(F.min("_place").alias("_start"))
     return (
-        placed.join(starts, keys)
+        join_small(placed, starts, keys)
         .withColumn(out, F.col("_place") - F.col("_start") + 1)
         .drop("_place", "_start")
     )
@@ -73,37 +75,64 @@ def quartile_band(
     return banded.withColumn("band", band_label("band_ord", list(labels))).drop("_rank")
 
 
+@dataclass(frozen=True)
+class ValueBlocks:
+    """Distinct values per key in range-partitioned blocks.
+
+    ``rows`` holds keys, value, ``copies`` and ``_block``; ``sizes`` one row per
+    (key, block) with the known rows ``_n`` and their sum ``_sum``. ``few`` says
+    that ``sizes`` was counted and is small enough to broadcast, as is then
+    every summary with at most one row per key or block.
+    """
+
+    rows: DataFrame
+    sizes: DataFrame
+    keys: list[str]
+    col: str
+    few: bool
+
+    def with_summary(self, summary: DataFrame, on: Sequence[str]) -> DataFrame:
+        """Known values beside a summary per key or block, without moving the values."""
+        side = F.broadcast(summary) if self.few else summary
+        return known(self.rows, [self.col]).join(side, list(on))
+
+
 def value_blocks(
     df: DataFrame, keys: str | Sequence[str], col: str, copies: str | None = None
-) -> DataFrame:
-    """Distinct (key, value) pairs with their row count and block number.
+) -> ValueBlocks:
+    """Count equal values, order them by (key, value) and cut the order into blocks.
 
-    Counting equal values first folds heavy ties, so that a value shared by a
-    third of all rows is a single row here. A missing value is one more value.
-    ``copies`` names a column saying how many rows an input row stands for.
+    Counting folds heavy ties, so that a value shared by a third of all rows is
+    a single row here. ``copies`` names a column saying how many rows an input
+    row stands for. A missing value is kept, so that keys without any known
+    value are still listed.
     """
     keys = names(keys)
     rows = F.count(F.lit(1)) if copies is None else F.sum(copies)
     counts = known(df, keys).groupBy(*keys, col).agg(rows.alias("copies"))
     ranged = counts.repartitionByRange(*keys, col)
-    return pinned(ranged.withColumn("_block", F.spark_partition_id()))
+    blocks = pinned(ranged.withColumn("_block", F.spark_partition_id()))
+    filled = F.when(F.col(col).isNotNull(), F.col("copies")).otherwise(0)
+    sizes = pinned(
+        blocks.groupBy(*keys, "_block").agg(
+            F.sum(filled).alias("_n"), F.sum(F.col(col) * F.col("copies")).alias("_sum")
+        )
+    )
+    return ValueBlocks(blocks, sizes, keys, col, sizes.count() <= BROADCAST_ROWS)
 
 
-def quantiles_of_blocks(
-    blocks: DataFrame, keys: str | Sequence[str], col: str, probs: Mapping[str, float]
-) -> DataFrame:
-    """Linearly interpolated quantiles per key from :func:`value_blocks`."""
-    keys = names(keys)
-    blocks = known(blocks, [col])
+def quantiles_of(blocks: ValueBlocks, probs: Mapping[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per key; keys without known values drop out."""
+    keys, col = blocks.keys, blocks.col
+    # A key has at most as many blocks as there are partitions.
     earlier = (
         Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per (key, block): a key has at most as many as there are partitions.
-    sizes = (
-        blocks.groupBy(*keys, "_block")
-        .agg(F.sum("copies").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    placed = blocks.sizes.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+            "_all": F.sum("_n").over(Window.partitionBy(*keys)),
+        }
     )
     wanted = []
     for name, prob in probs.items():
@@ -121,7 +150,7 @@ def quantiles_of_blocks(
         lambda w: (w["place"] >= F.col("_before")) & (w["place"] < F.col("_before") + F.col("_n")),
     )
     hits = (
-        sizes.withColumn("_wanted", inside)
+        placed.withColumn("_wanted", inside)
         .where(F.size("_wanted") > 0)
         .select(*keys, "_block", "_before", "_wanted")
     )
@@ -131,7 +160,7 @@ def quantiles_of_blocks(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = (
-        blocks.join(hits, [*keys, "_block"])
+        blocks.with_summary(hits, [*keys, "_block"])
         .withColumn("_upto", F.col("_before") + F.sum("copies").over(running))
         .withColumn("_hit", F.explode("_wanted"))
         .where(
@@ -153,4 +182,4 @@ def quantiles_of_blocks(
 def exact_quantiles(
     df: DataFrame, keys: str | Sequence[str], col: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    return quantiles_of_blocks(value_blocks(df, keys, col), keys, col, probs)
+    return quantiles_of(value_blocks(df, keys, col), probs)

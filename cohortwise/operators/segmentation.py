@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.operators.features import FEATURES
+from cohortwise.operators.joins import join_small
 from cohortwise.operators.ordering import exact_quantiles
 from cohortwise.operators.scaling import zscore
 from cohortwise.session import pinned
@@ -84,7 +85,7 @@ def label_clusters(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     labels = means.select(
         cluster, segment_rule(F.col("_grade"), F.col("_att"), F.col("_logins"), typical).alias("segment")
     )
-    return df.join(labels, cluster, "left")
+    return join_small(df, labels, [cluster], "left")
 
 
 def segment_profile(df: DataFrame, cols: Sequence[str] = tuple(FEATURES)) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortwise.operators import cleaning, distribution, grouping, ordering, regression, reshape
+from cohortwise.operators.joins import join_small
 from cohortwise.operators.scaling import min_max_norm, zscore
 
 
@@ -178,3 +179,42 @@ def test_row_order_and_partitioning_do_not_matter(spark):
         lambda d: distribution.box_outliers(d, "k", "v"),
     ):
         assert rows(make(df)) == rows(make(shuffled))
+
+
+def test_summaries_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+    df = skewed(spark)
+    probs = {"q1": 0.25, "m": 0.5}
+    small = (
+        rows(ordering.exact_quantiles(df, "k", "v", probs)),
+        rows(distribution.box_outliers(df, "k", "v")),
+        rows(distribution.describe_by(df, "k", "v")),
+    )
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 0)
+    large = (
+        rows(ordering.exact_quantiles(df, "k", "v", probs)),
+        rows(distribution.box_outliers(df, "k", "v")),
+        rows(distribution.describe_by(df, "k", "v")),
+    )
+    assert small[:2] == large[:2]
+    for one, other in zip(small[2], large[2], strict=True):
+        assert one == pytest.approx(other)
+    left = spark.createDataFrame([("a", 1), ("b", 2)], "k string, x int")
+    right = spark.createDataFrame([("a", 9)], "k string, y int")
+    for limit in (0, 10):
+        got = join_small(left, right, ["k"], "left", limit=limit)
+        assert sorted(got.collect()) == [("a", 1, 9), ("b", 2, None)]
+
+
+def test_blocks_split_a_hot_key(spark):
+    """A key with most rows spreads over blocks; none holds the key as a whole."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(40000).select(
+            F.when(F.col("id") % 4 == 0, F.lit("cold")).otherwise("hot").alias("k"),
+            (F.col("id") * 7919 % 40009).cast("double").alias("v"),
+        )
+        blocks = ordering.value_blocks(df, "k", "v")
+        sizes = {r["_block"]: r["n"] for r in blocks.rows.groupBy("_block").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 6 and max(sizes.values()) < 40000 / 3
