@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.operators.features import FEATURES
@@ -54,15 +54,20 @@ def cluster_students(
     assembler = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features")
     points = pinned(assembler.transform(scaled).select("student_id", *cols, "features"))
     model = best_kmeans(points, k, seed, n_init)
-    clustered = model.transform(points).withColumnRenamed("prediction", "_found").drop("features")
-    # k rows: cluster numbers follow the mean grade, so they do not depend on the fit.
-    order = Window.orderBy(F.desc("_grade"), F.desc("_att"), "_found")
-    numbers = (
-        clustered.groupBy("_found")
-        .agg(F.avg("avg_grade").alias("_grade"), F.avg("att_rate").alias("_att"))
-        .select("_found", (F.row_number().over(order) - 1).alias("cluster"))
-    )
-    return clustered.join(F.broadcast(numbers), "_found").drop("_found")
+    found = model.transform(points)
+    number = F.element_at(F.array(*_numbers(model, cols)), F.col("prediction") + 1)
+    return found.withColumn("cluster", number).drop("features", "prediction")
+
+
+def _numbers(model: KMeansModel, cols: list[str]) -> list[Column]:
+    """A number for each centre: by grade, then attendance, highest first.
+
+    The order in which a fit finds its centres is arbitrary; this one is not.
+    """
+    centres = model.clusterCenters()
+    ranked = [cols.index(c) for c in ("avg_grade", "att_rate") if c in cols] or [0]
+    order = sorted(range(len(centres)), key=lambda i: [-centres[i][c] for c in ranked])
+    return [F.lit(order.index(i)) for i in range(len(centres))]
 
 
 def segment_rule(grade: Column, att: Column, logins: Column, typical_logins: Column) -> Column:
