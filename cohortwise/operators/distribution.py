@@ -7,52 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.operators.grouping import count_by, names
-from cohortwise.operators.ordering import ValueBlocks, quantiles_of, value_blocks
+from cohortwise.operators.grouping import count_by, known, names
+from cohortwise.operators.ordering import matched, quantiles_of, value_counts
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _moments(blocks: ValueBlocks) -> DataFrame:
-    """Count, mean and sample deviation per key."""
-    keys = blocks.keys
-    rows = F.sum("_n")
-    centres = blocks.sizes.groupBy(*keys).agg(
-        rows.alias("n"), F.try_divide(F.sum("_sum"), rows).alias("mean")
-    )
-    off = F.col(blocks.col) - F.col("mean")
-    squares = (
-        blocks.with_summary(centres, keys)
-        .groupBy(*keys)
-        .agg(F.sum(off * off * F.col("copies")).alias("_squares"))
-    )
-    deviation = F.sqrt(F.try_divide(F.col("_squares"), F.col("n") - 1))
-    return centres.join(squares, keys, "left").withColumn("std", deviation).drop("_squares")
-
-
 def describe_by(df: DataFrame, keys: str | Sequence[str], col: str) -> DataFrame:
     """Mean, sample deviation, exact median and count of known values per key.
 
     A key whose values are all missing keeps its row, with a count of 0.
     """
-    blocks = value_blocks(df, keys, col)
-    return (
-        _moments(blocks)
-        .join(quantiles_of(blocks, {"median": 0.5}), blocks.keys, "left")
-        .select(*blocks.keys, "mean", "std", "median", F.col("n").alias("count"))
+    keys = names(keys)
+    value = F.col(col).cast("double")
+    moments = known(df, keys).groupBy(*keys).agg(
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(col).alias("count")
     )
+    medians = quantiles_of(value_counts(df, keys, col), keys, col, {"median": 0.5})
+    medians = moments.join(medians, keys, "left") if keys else matched(moments, medians, keys)
+    return medians.select(*keys, "mean", "std", "median", "count")
 
 
-def _fenced(blocks: ValueBlocks, reach: float) -> DataFrame:
+def _fenced(counts: DataFrame, keys: list[str], col: str, reach: float) -> DataFrame:
     """Each distinct known value beside its key's quartiles and fences."""
     step = (F.col("q3") - F.col("q1")) * F.lit(reach)
-    fences = quantiles_of(blocks, _QUARTILES).withColumns(
+    fences = quantiles_of(counts, keys, col, _QUARTILES).withColumns(
         {"lower_fence": F.col("q1") - step, "upper_fence": F.col("q3") + step}
     )
-    value = F.col(blocks.col)
-    return blocks.with_summary(fences, blocks.keys).withColumn(
-        "_outside", (value < F.col("lower_fence")) | (value > F.col("upper_fence"))
-    )
+    outside = (F.col(col) < F.col("lower_fence")) | (F.col(col) > F.col("upper_fence"))
+    return matched(counts, fences, keys).withColumn("_outside", outside)
 
 
 def box_stats_by(
@@ -64,7 +47,7 @@ def box_stats_by(
 ) -> DataFrame:
     """Quartiles, fences, whisker ends and outlier count per key."""
     keys = names(keys)
-    fenced = _fenced(value_blocks(df, keys, col, copies), reach)
+    fenced = _fenced(value_counts(df, keys, col, copies), keys, col, reach)
     inner = F.when(~F.col("_outside"), F.col(col))
     return fenced.groupBy(*keys, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.sum("copies").alias("n"),
@@ -79,7 +62,7 @@ def box_outliers(
 ) -> DataFrame:
     """Distinct values beyond the fences, with how often each occurs."""
     keys = names(keys)
-    fenced = _fenced(value_blocks(df, keys, col), reach)
+    fenced = _fenced(value_counts(df, keys, col), keys, col, reach)
     return fenced.where("_outside").select(*keys, col, "copies")
 
 
@@ -93,29 +76,38 @@ def density_by(
     """Gaussian kernel density per key at each grid point.
 
     Without a bandwidth each key uses 1.059 * min(std, IQR / 1.349) * n ** -0.2.
-    Every distinct value meets every grid point and the products are summed
-    map-side, so only (key, grid point) partial sums are shuffled.
+    The kernel sums of all grid points are built side by side while the values are
+    read, so a value is one row and only one row per key is shuffled.
     """
     keys = names(keys)
-    blocks = value_blocks(df, keys, col)
-    stats = _moments(blocks)
+    counts = value_counts(df, keys, col)
+    value = F.col(col).cast("double")
+    stats = known(df, [*keys, col]).groupBy(*keys).agg(
+        F.count(col).alias("n"), F.stddev_samp(value).alias("std")
+    )
     if bandwidth is None:
-        stats = stats.join(quantiles_of(blocks, _QUARTILES), keys)
+        stats = matched(stats, quantiles_of(counts, keys, col, _QUARTILES), keys)
         spread = F.least(F.col("std"), (F.col("q3") - F.col("q1")) / 1.349)
         width = F.nullif(F.lit(1.059) * spread * F.pow("n", F.lit(-0.2)), F.lit(0.0))
     else:
         width = F.lit(float(bandwidth))
-    points = F.explode(F.array(*[F.lit(float(g)) for g in grid]))
-    spot = (F.col("x") - F.col(col)) / F.col("bandwidth")
-    kernel = F.exp(spot * spot * -0.5) * F.col("copies")
     scale = F.col("n") * F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi())
-    return (
-        blocks.with_summary(stats.select(*keys, "n", width.alias("bandwidth")), keys)
-        .withColumn("x", points)
-        .groupBy(*keys, "x", "n", "bandwidth")
-        .agg(F.sum(kernel).alias("_mass"))
-        .select(*keys, "x", (F.col("_mass") / scale).alias("density"))
+    sums = {}
+    for i, point in enumerate(grid):
+        spot = (F.lit(float(point)) - F.col(col)) / F.col("bandwidth")
+        sums[f"_mass{i}"] = F.sum(F.exp(spot * spot * -0.5) * F.col("copies"))
+    masses = (
+        matched(counts, stats.select(*keys, "n", width.alias("bandwidth")), keys)
+        .groupBy(*keys, "n", "bandwidth")
+        .agg(*[total.alias(name) for name, total in sums.items()])
+    )
+    points = F.array(
+        *[
+            F.struct(F.lit(float(g)).alias("x"), (F.col(f"_mass{i}") / scale).alias("density"))
+            for i, g in enumerate(grid)
+        ]
     )
+    return masses.select(*keys, F.inline(points))
 
 
 def histogram(
@@ -126,10 +118,11 @@ def histogram(
     hi: float = 100.0,
     bins: int = 40,
 ) -> DataFrame:
-    """Counts per key in equal-width bins over [lo, hi]; ``hi`` joins the last bin."""
+    """Counts per key in equal-width bins over [lo, hi]; ``hi`` joins the last bin.
+
+    Values below ``lo`` are counted in bin 0, values above ``hi`` in bin ``bins`` + 1.
+    """
     keys = names(keys)
-    slot = F.least(
-        F.floor((F.col(col) - lo) * bins / (hi - lo)).cast("int") + 1, F.lit(bins)
-    )
-    within = df.where(F.col(col).between(lo, hi)).withColumn("bin", slot)
-    return count_by(within, [*keys, "bin"])
+    slot = F.least(F.floor((F.col(col) - lo) * bins / (hi - lo)).cast("int") + 1, F.lit(bins))
+    slot = F.when(F.col(col) < lo, 0).when(F.col(col) > hi, bins + 1).otherwise(slot)
+    return count_by(known(df, [col]).withColumn("bin", slot), [*keys, "bin"])

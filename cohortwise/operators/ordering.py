@@ -1,28 +1,32 @@
-"""Exact ranks and quantiles that never gather a group, or the table, in one task.
+"""Exact ranks, quantiles and quartile bands that never gather a group in one task.
 
-Rows are range-partitioned on the ordering columns, so each partition (block)
-holds one contiguous stretch of the order and all blocks are of similar size.
-A block's offset is the number of rows in the blocks before it.
+Quantiles are found by counting: values are counted per key and bin, the bins that hold
+the wanted places are cut into bins again, and only the values of the last bins
+are put in order. No step needs the whole order, and nothing runs before the
+result is asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.functions.bands import QUARTILE_LABELS, band_label, quantile_bin
+from cohortwise.functions.bands import QUARTILE_LABELS, band_label
 from cohortwise.operators.grouping import known, names
-from cohortwise.operators.joins import BROADCAST_ROWS, join_small
 from cohortwise.session import pinned
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition << 33 | row in partition
+_BINS, _ROUNDS = 1024, 2
 
 
 def with_position(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
-    """Add each row's 0-based place in the whole table's order."""
+    """Add each row's 0-based place in the whole table's order.
+
+    Rows are range-partitioned, and the numbered partitions are stored once in the
+    checkpoint folder, so that later readers see the same partitions.
+    """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = pinned(ordered.withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumns(
@@ -54,132 +58,159 @@ def rank_first(df: DataFrame, col: str, tiebreak: str, out: str = "rank") -> Dat
 def rank_within(
     df: DataFrame, keys: str | Sequence[str], order: Sequence[str], out: str = "rank"
 ) -> DataFrame:
-    """1-based rank inside each key; (key, order) combinations must be distinct."""
+    """1-based rank inside each key, for keys with few rows, such as dates of a group."""
     keys = names(keys)
-    placed = with_position(known(df, [*keys, *order]), [*keys, *order], "_place")
-    starts = placed.groupBy(*keys).agg(F.min("_place").alias("_start"))
-    return (
-        join_small(placed, starts, keys)
-        .withColumn(out, F.col("_place") - F.col("_start") + 1)
-        .drop("_place", "_start")
-    )
+    within = Window.partitionBy(*keys).orderBy(*order)
+    return known(df, [*keys, *order]).withColumn(out, F.row_number().over(within))
 
 
-def quartile_band(
-    df: DataFrame, col: str, tiebreak: str, labels: Sequence[str] = tuple(QUARTILE_LABELS)
+def value_counts(
+    df: DataFrame, keys: str | Sequence[str], col: str, copies: str | None = None
 ) -> DataFrame:
-    """Cut the rank of ``col`` into equal quantiles: ``band_ord`` and ``band``."""
-    ranked = rank_first(df, col, tiebreak, "_rank")
-    rows = ranked.agg(F.max("_rank")).scalar()
-    banded = ranked.withColumn("band_ord", quantile_bin("_rank", rows, len(labels)))
-    return banded.withColumn("band", band_label("band_ord", list(labels))).drop("_rank")
-
+    """Keys, value and ``copies``: how often each known value occurs.
 
-@dataclass(frozen=True)
-class ValueBlocks:
-    """Distinct values per key in range-partitioned blocks.
-
-    ``rows`` holds keys, value, ``copies`` and ``_block``; ``sizes`` one row per
-    (key, block) with the known rows ``_n`` and their sum ``_sum``. ``few`` says
-    that ``sizes`` was counted and is small enough to broadcast, as is then
-    every summary with at most one row per key or block.
+    ``copies`` names a column saying how many rows an input row stands for. Counting
+    folds ties, so a value shared by a third of all rows is a single row here.
     """
+    keys = names(keys)
+    rows = F.count(F.lit(1)) if copies is None else F.sum(copies)
+    return known(df, [*keys, col]).groupBy(*keys, col).agg(rows.alias("copies"))
 
-    rows: DataFrame
-    sizes: DataFrame
-    keys: list[str]
-    col: str
-    few: bool
-
-    def with_summary(self, summary: DataFrame, on: Sequence[str]) -> DataFrame:
-        """Known values beside a summary per key or block, without moving the values."""
-        side = F.broadcast(summary) if self.few else summary
-        return known(self.rows, [self.col]).join(side, list(on))
 
+def matched(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of ``side``, one row per key, or one row in all without keys."""
+    if keys:
+        return df.join(side, list(keys))
+    packed = df.withColumn("_side", side.agg(F.first(F.struct(*side.columns))).scalar())
+    return packed.select("*", "_side.*").drop("_side")
 
-def value_blocks(
-    df: DataFrame, keys: str | Sequence[str], col: str, copies: str | None = None
-) -> ValueBlocks:
-    """Count equal values, order them by (key, value) and cut the order into blocks.
 
-    Counting folds heavy ties, so that a value shared by a third of all rows is
-    a single row here. ``copies`` names a column saying how many rows an input
-    row stands for. A missing value is kept, so that keys without any known
-    value are still listed.
-    """
-    keys = names(keys)
-    rows = F.count(F.lit(1)) if copies is None else F.sum(copies)
-    counts = known(df, keys).groupBy(*keys, col).agg(rows.alias("copies"))
-    ranged = counts.repartitionByRange(*keys, col)
-    blocks = pinned(ranged.withColumn("_block", F.spark_partition_id()))
-    filled = F.when(F.col(col).isNotNull(), F.col("copies")).otherwise(0)
-    sizes = pinned(
-        blocks.groupBy(*keys, "_block").agg(
-            F.sum(filled).alias("_n"), F.sum(F.col(col) * F.col("copies")).alias("_sum")
-        )
-    )
-    return ValueBlocks(blocks, sizes, keys, col, sizes.count() <= BROADCAST_ROWS)
+def _placed_bins(counts: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """Counts with ``_bin``: an equal slice of the range of the key's values."""
+    ends = counts.groupBy(*keys).agg(F.min(col).alias("_low"), F.max(col).alias("_high"))
+    slot = F.floor((F.col(col) - F.col("_low")) / (F.col("_high") - F.col("_low")) * _BINS)
+    slot = F.when(F.col("_high") > F.col("_low"), F.least(slot, F.lit(_BINS - 1))).otherwise(F.lit(0))
+    return matched(counts, ends, keys).withColumn("_bin", slot).drop("_low", "_high")
 
 
-def quantiles_of(blocks: ValueBlocks, probs: Mapping[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per key; keys without known values drop out."""
-    keys, col = blocks.keys, blocks.col
-    # A key has at most as many blocks as there are partitions.
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = blocks.sizes.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
-            "_all": F.sum("_n").over(Window.partitionBy(*keys)),
-        }
-    )
-    wanted = []
-    for name, prob in probs.items():
-        spot = (F.col("_all") - 1) * F.lit(float(prob))
-        for side, place in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            wanted.append(
-                F.struct(
-                    F.lit(f"{name}_{side}").alias("name"),
-                    place.alias("place"),
-                    (spot - F.floor(spot)).alias("part"),
-                )
-            )
+def _narrowed(counts: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """The values in the bins that hold a wanted place, places counted inside the bin."""
+    binned = _placed_bins(counts, keys, col)
+    # At most _BINS rows per key.
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    filled = binned.groupBy(*keys, "_bin").agg(
+        F.sum("copies").alias("_n"), F.first("wanted").alias("wanted")
+    ).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     inside = F.filter(
-        F.array(*wanted),
+        "wanted",
         lambda w: (w["place"] >= F.col("_before")) & (w["place"] < F.col("_before") + F.col("_n")),
     )
-    hits = (
-        placed.withColumn("_wanted", inside)
-        .where(F.size("_wanted") > 0)
-        .select(*keys, "_block", "_before", "_wanted")
+    moved = F.transform(
+        inside,
+        lambda w: F.struct(w["name"].alias("name"), (w["place"] - F.col("_before")).alias("place")),
+    )
+    hits = filled.select(*keys, "_bin", moved.alias("_moved")).where(F.size("_moved") > 0)
+    return binned.drop("wanted").join(hits, [*keys, "_bin"]).withColumnRenamed("_moved", "wanted")
+
+
+def _at_places(
+    counts: DataFrame, keys: list[str], col: str, places: Mapping[str, Column]
+) -> DataFrame:
+    """The values at 0-based ``places`` of each key's order: (keys, name, value, skipped).
+
+    ``places`` are expressions over ``_all``, the rows of the key. ``skipped`` counts the rows of the
+    same value that come before the place. Values are cut into bins twice, so what is put in order
+    in the end is a millionth of a key's range.
+    """
+    total = counts.groupBy(*keys).agg(F.sum("copies").alias("_all"))
+    wanted = F.array(
+        *[F.struct(F.lit(n).alias("name"), p.cast("long").alias("place")) for n, p in places.items()]
     )
-    running = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(col)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = matched(counts, total.select(*keys, wanted.alias("wanted")), keys)
+    groups = list(keys)
+    for number in range(_ROUNDS):
+        left = _narrowed(left, groups, col).withColumnRenamed("_bin", f"_bin{number}")
+        groups.append(f"_bin{number}")
+    running = Window.partitionBy(*groups).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    found = left.withColumn("_before", F.coalesce(F.sum("copies").over(running), F.lit(0)))
+    hit = found.withColumn("_hit", F.explode("wanted")).where(
+        (F.col("_hit.place") >= F.col("_before")) & (F.col("_hit.place") < F.col("_before") + F.col("copies"))
     )
-    found = (
-        blocks.with_summary(hits, [*keys, "_block"])
-        .withColumn("_upto", F.col("_before") + F.sum("copies").over(running))
-        .withColumn("_hit", F.explode("_wanted"))
-        .where(
-            (F.col("_hit.place") < F.col("_upto"))
-            & (F.col("_hit.place") >= F.col("_upto") - F.col("copies"))
-        )
+    return hit.select(
+        *keys, F.col("_hit.name").alias("name"), F.col(col).alias("value"),
+        (F.col("_hit.place") - F.col("_before")).alias("skipped"),
     )
 
-    def pick(name: str, what: str):
-        return F.max(F.when(F.col("_hit.name") == name, F.col(what)))
 
-    picks = []
-    for name in probs:
-        low, high = pick(f"{name}_lo", col), pick(f"{name}_hi", col)
-        picks.append((low + (high - low) * pick(f"{name}_lo", "_hit.part")).alias(name))
-    return found.groupBy(*keys).agg(*picks)
+def quantiles_of(
+    counts: DataFrame, keys: str | Sequence[str], col: str, probs: Mapping[str, float]
+) -> DataFrame:
+    """Linearly interpolated quantiles per key of counted values; keys without values drop out."""
+    keys = names(keys)
+    spots = {name: (F.col("_all") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    places = {f"{n}_lo": F.floor(s) for n, s in spots.items()} | {f"{n}_hi": F.ceil(s) for n, s in spots.items()}
+    found = _at_places(counts, keys, col, places)
+    rows = counts.groupBy(*keys).agg(F.sum("copies").alias("_all"))
+
+    def pick(name: str) -> Column:
+        return F.max(F.when(F.col("name") == name, F.col("value"))).alias(name)
+
+    picked = found.groupBy(*keys).agg(*[pick(name) for name in places])
+    whole = matched(picked, rows, keys)
+    part = {n: s - F.floor(s) for n, s in spots.items()}
+    return whole.select(
+        *keys,
+        *[
+            (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * part[n]).alias(n)
+            for n in probs
+        ],
+    )
 
 
 def exact_quantiles(
     df: DataFrame, keys: str | Sequence[str], col: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    return quantiles_of(value_blocks(df, keys, col), probs)
+    return quantiles_of(value_counts(df, keys, col), keys, col, probs)
+
+
+def quartile_band(
+    df: DataFrame, col: str, tiebreak: str, labels: Sequence[str] = tuple(QUARTILE_LABELS)
+) -> DataFrame:
+    """Cut the order of (``col``, ``tiebreak``) into equal quantiles: ``band_ord`` and ``band``.
+
+    Only the last row of each band is looked for: its value first, then its tiebreak among the
+    rows of that value. Rows are banded by comparing with these, and are never sorted.
+    """
+    bins = len(labels)
+    rows = known(df, [col])
+    # 0-based place of the last row of band b: the largest rank r with bins * r <= b * (n - 1).
+    last = {str(b): F.floor(F.lit(b) * (F.col("_all") - 1) / F.lit(bins)) for b in range(1, bins)}
+    edges = _at_places(value_counts(rows, [], col), [], col, last)
+    edges = edges.select(F.col("name").cast("int").alias("_edge"), F.col("value").alias("_edge_value"), "skipped")
+    tied = rows.select(F.col(col).alias("_edge_value"), tiebreak).join(edges, "_edge_value")
+    counted = tied.groupBy("_edge", tiebreak, "_edge_value", "skipped").agg(F.count(F.lit(1)).alias("copies"))
+    placed = counted.select("_edge", "_edge_value", "skipped", tiebreak, "copies")
+    at = _at_tied_places(placed, tiebreak)
+    ends = at.agg(
+        F.sort_array(F.collect_list(F.struct("_edge", F.struct("_edge_value", tiebreak).alias("at")))).alias("ends")
+    ).scalar()
+    here = F.struct(F.col(col).alias("_edge_value"), F.col(tiebreak).alias(tiebreak))
+    above = F.size(F.filter("_ends", lambda e: here > e["at"]))
+    banded = rows.withColumn("_ends", ends).withColumn("band_ord", (above + 1).cast("int"))
+    return banded.withColumn("band", band_label("band_ord", list(labels))).drop("_ends")
+
+
+def _at_tied_places(tied: DataFrame, tiebreak: str) -> DataFrame:
+    """For each edge the tiebreak of the row ``skipped`` places into its value's rows."""
+    number = F.struct(F.lit("at").alias("name"), F.col("skipped").alias("place"))
+    left = tied.withColumn("wanted", F.array(number)).drop("skipped")
+    groups = ["_edge", "_edge_value"]
+    for step in range(_ROUNDS):
+        left = _narrowed(left, groups, tiebreak).withColumnRenamed("_bin", f"_bin{step}")
+        groups.append(f"_bin{step}")
+    running = Window.partitionBy(*groups).orderBy(tiebreak).rowsBetween(Window.unboundedPreceding, -1)
+    found = left.withColumn("_before", F.coalesce(F.sum("copies").over(running), F.lit(0)))
+    place = F.col("wanted")[0]["place"]
+    return found.where((place >= F.col("_before")) & (place < F.col("_before") + F.col("copies"))).select(
+        "_edge", "_edge_value", tiebreak
+    )

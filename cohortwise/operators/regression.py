@@ -29,11 +29,17 @@ def linreg_by(
 
 
 def line_from_sums(
-    n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Column
+    n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Column,
+    x_moves: Column, y_moves: Column,
 ) -> dict[str, Column]:
-    """Slope, intercept and r2 from weighted power sums."""
-    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    cov = sxy - sx * sy / n
+    """Slope, intercept and r2 from weighted power sums.
+
+    ``x_moves`` and ``y_moves`` say whether the side takes more than one value: the
+    difference of two sums need not be exactly zero when it does not.
+    """
+    vx = F.when(x_moves, sxx - sx * sx / n).otherwise(0.0)
+    vy = F.when(y_moves, syy - sy * sy / n).otherwise(0.0)
+    cov = F.when(x_moves & y_moves, sxy - sx * sy / n).otherwise(0.0)
     slope = F.try_divide(cov, vx)
     return {
         "n": n,

@@ -13,7 +13,13 @@ from cohortwise.functions.periods import DAYS
 def pivot_rate(
     df: DataFrame, row: str, col: str, val: str, values: Sequence[str], fill: float | None = 0.0
 ) -> DataFrame:
-    """One column per listed value of ``col`` holding the mean of ``val``."""
+    """One column per listed value of ``col`` holding the mean of ``val``.
+
+    A value that is not listed raises an error, so that nothing is left out unseen.
+    """
+    listed = F.col(col).isNull() | F.col(col).isin(list(values))
+    unlisted = F.raise_error(F.concat(F.lit(f"{col} without a column: "), F.col(col).cast("string")))
+    df = df.withColumn(col, F.when(listed, F.col(col)).otherwise(unlisted.cast("string")))
     wide = df.na.drop(subset=[row]).groupBy(row).pivot(col, list(values)).agg(F.avg(val))
     return wide if fill is None else wide.na.fill(fill, subset=list(values))
 
@@ -23,20 +29,18 @@ def pivot_days(df: DataFrame, row: str = "month", col: str = "dow", val: str = "
     return pivot_rate(df, row, col, val, DAYS, fill=None)
 
 
-# Slots over which the column labels of a dense grid are spread.
-_GRID_SLOTS = 64
-
-
-def dense_long(df: DataFrame, row: str, col: str, val: str, fill: float = 0.0) -> DataFrame:
-    """Every row label with every column label, in long form.
+def cells_long(
+    df: DataFrame, row: str, col: str, val: str, columns: Sequence[str] = (), fill: float = 0.0
+) -> DataFrame:
+    """Mean ``val`` of each row label with each column label, in long form.
 
-    Each column label lives in one slot by its hash and each row label visits
-    every slot, so an ordinary join on the slot yields each cell once and
-    neither label list is gathered anywhere. Cells without a value get ``fill``.
+    Only cells that occur are returned, and for every row label the listed
+    ``columns`` it never met, with ``fill``.
     """
     cells = df.na.drop(subset=[row, col]).groupBy(row, col).agg(F.avg(val).alias(val))
-    slots = F.array(*[F.lit(i) for i in range(_GRID_SLOTS)])
-    visiting = cells.select(row).distinct().withColumn("_slot", F.explode(slots))
-    living = cells.select(col).distinct().withColumn("_slot", F.pmod(F.hash(col), F.lit(_GRID_SLOTS)))
-    grid = visiting.join(living, "_slot").drop("_slot")
-    return grid.join(cells, [row, col], "left").na.fill(fill, subset=[val])
+    if not columns:
+        return cells
+    listed = F.array(*[F.lit(c) for c in columns])
+    met = cells.groupBy(row).agg(F.collect_set(F.when(F.col(col).isin(list(columns)), F.col(col))).alias("_met"))
+    missing = met.select(row, F.explode(F.array_except(listed, "_met")).alias(col), F.lit(fill).alias(val))
+    return cells.unionByName(missing)

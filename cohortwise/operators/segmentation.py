@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -12,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.operators.features import FEATURES
-from cohortwise.operators.joins import join_small
 from cohortwise.operators.ordering import exact_quantiles
 from cohortwise.operators.scaling import zscore
 from cohortwise.session import pinned
@@ -25,34 +25,50 @@ AVERAGE = "📈 Average / Improving"
 
 
 def best_kmeans(
-    points: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10, parallelism: int = 10
+    points: DataFrame,
+    k: int = 4,
+    seed: int = 42,
+    n_init: int = 10,
+    parallelism: int = 10,
+    max_iter: int = 300,
 ) -> KMeansModel:
     """The cheapest of ``n_init`` fits on the ``features`` vector column.
 
     The fits are independent Spark jobs, ``parallelism`` of them at a time, so
-    that short iterations of one fill the gaps left by another.
+    that short iterations of one fill the gaps left by another. A fit ends when its
+    centres stand still; ``max_iter`` only guards against one that never does, and a
+    warning is given if the chosen fit ran into it.
     """
     spark = points.sparkSession
 
     def fit(number: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + number, featuresCol="features").fit(points)
+        means = KMeans(k=k, seed=seed + number, maxIter=max_iter, featuresCol="features")
+        return means.fit(points)
 
     with ThreadPoolExecutor(parallelism) as pool:
         models = list(pool.map(inheritable_thread_target(spark)(fit), range(n_init)))
-    return min(models, key=lambda model: model.summary.trainingCost)
+    best = min(models, key=lambda model: model.summary.trainingCost)
+    if best.summary.numIter >= max_iter:
+        warnings.warn(f"k-means was stopped after {max_iter} iterations", stacklevel=2)
+    return best
 
 
 def cluster_students(
     features: DataFrame, cols: Sequence[str] = tuple(FEATURES), k: int = 4, seed: int = 42,
-    n_init: int = 10,
+    n_init: int = 10, partitions: int = 64,
 ) -> DataFrame:
-    """Add ``cluster``: k-means on the z-scored columns, best of several starts."""
+    """Add ``cluster``: k-means on the z-scored columns, best of several starts.
+
+    Starts are drawn per partition, so students are dealt out by hash into a fixed number
+    of partitions and sorted there; the result depends on ``partitions`` and on the rows only.
+    """
     cols = list(cols)
     # Scaled copies go into the vector; every fit and the assignment read the pinned frame.
     shadow = features.withColumns({f"z_{c}": F.col(c).cast("double") for c in cols})
     scaled = zscore(shadow, [f"z_{c}" for c in cols])
     assembler = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features")
-    points = pinned(assembler.transform(scaled).select("student_id", *cols, "features"))
+    dealt = scaled.repartition(partitions, "student_id").sortWithinPartitions("student_id")
+    points = pinned(assembler.transform(dealt).select("student_id", *cols, "features"))
     model = best_kmeans(points, k, seed, n_init)
     found = model.transform(points)
     number = F.element_at(F.array(*_numbers(model, cols)), F.col("prediction") + 1)
@@ -90,7 +106,7 @@ def label_clusters(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     labels = means.select(
         cluster, segment_rule(F.col("_grade"), F.col("_att"), F.col("_logins"), typical).alias("segment")
     )
-    return join_small(df, labels, [cluster], "left")
+    return df.join(labels, [cluster], "left")
 
 
 def segment_profile(df: DataFrame, cols: Sequence[str] = tuple(FEATURES)) -> DataFrame:

@@ -31,9 +31,10 @@ def profile_similarity(
     Needs more than ``min_common`` shared concepts. The target matches itself
     with r = 1 unless excluded.
     """
-    wanted = profiles.where(F.col("group_id") == target).select(
-        "concept_name", F.col("level").alias("target_level")
-    )
+    # Both sides read the same profiles, so their shuffle is made once.
+    level = F.max(F.when(F.col("group_id") == target, F.col("level")))
+    wanted = profiles.groupBy("concept_name").agg(level.alias("target_level"))
+    wanted = wanted.where(F.col("target_level").isNotNull())
     others = profiles.where(F.col("group_id") != target) if exclude_self else profiles
     return (
         others.join(wanted, "concept_name")

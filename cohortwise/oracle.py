@@ -10,7 +10,7 @@ import re
 VIEWS: dict[str, str] = {
     "courses": "SELECT r_regionkey AS course_id, r_name AS course_name FROM region",
     "groups": """SELECT n_nationkey AS group_id, n_name AS group_name, n_regionkey AS course_id,
-        50 + n_nationkey AS stated_num_students, 'I' || (n_nationkey % 4) AS instructor
+        50 + 4 * n_nationkey AS stated_num_students, 'I' || (n_nationkey % 4) AS instructor
         FROM nation""",
     "students": """SELECT c_custkey AS student_id, c_name AS full_name,
         CAST(17 + c_custkey % 20 AS DOUBLE) AS age, c_mktsegment AS city,
@@ -21,7 +21,8 @@ VIEWS: dict[str, str] = {
         o_totalprice, o_orderpriority, s.group_id, s.course_id
         FROM orders LEFT JOIN students s ON o_custkey = s.student_id""",
     "grades": """SELECT assessment_id, student_id, group_id, course_id, o_orderpriority AS type,
-        o_totalprice / 5003 AS score, o_orderdate AS date FROM owners""",
+        o_totalprice / 5003 + CASE WHEN assessment_id % 500 = 0 THEN 200.0::DOUBLE ELSE 0.0::DOUBLE END
+        AS score, o_orderdate AS date FROM owners""",
     "attendance": """SELECT student_id, group_id,
         CASE WHEN l_returnflag = 'R' THEN 'absent' ELSE 'attended' END AS status,
         l_shipdate AS session_datetime
@@ -64,6 +65,8 @@ VIEWS: dict[str, str] = {
     "risk": """SELECT student_id, group_name, course_name, att_rate, avg_grade,
         coalesce(att_rate, 0) < 60 OR coalesce(avg_grade, 0) < 55 AS is_at_risk
         FROM students LEFT JOIN att USING (student_id) LEFT JOIN grd USING (student_id)""",
+    "cstats": """SELECT course_name, avg(score) AS m, stddev_samp(score) AS s FROM cscore
+        GROUP BY course_name""",
     "cfail": """SELECT concept_name, avg(CASE WHEN mastery_status = 'failed' THEN 1.0::DOUBLE
         ELSE 0.0::DOUBLE END) * 100 AS fail_rate
         FROM concepts WHERE concept_name IS NOT NULL GROUP BY concept_name""",
@@ -205,6 +208,27 @@ VIEWS: dict[str, str] = {
             FROM grades WHERE type IS NOT NULL GROUP BY type) USING (type),
         (SELECT unnest(range(0, 101, 5))::DOUBLE AS x)
         GROUP BY type, x, n, h""",
+    "lscore": """SELECT CASE type WHEN '1-URGENT' THEN 'Urgent' WHEN '5-LOW' THEN 'Low' END AS label,
+        score FROM grades WHERE type IN ('1-URGENT', '5-LOW')""",
+    "ldensity": """SELECT label, x, sum(exp(-0.5 * ((x - score) / h) ** 2)) / (n * h * sqrt(2 * pi()))
+        AS density FROM lscore JOIN (
+            SELECT label, count(score) AS n, 1.059::DOUBLE * least(stddev_samp(score),
+                (quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / 1.349::DOUBLE)
+                * pow(count(score), -0.2::DOUBLE) AS h
+            FROM lscore WHERE label IS NOT NULL GROUP BY label) USING (label),
+        (SELECT unnest(range(0, 101, 5))::DOUBLE AS x)
+        GROUP BY label, x, n, h""",
+    "odds": """SELECT o_orderkey AS student_id, o_totalprice / 5003 AS avg_grade,
+        (o_orderkey * 37 % 101)::DOUBLE AS att_rate, o_orderkey * 53 % 40 AS logins,
+        (o_orderkey * 11 % 900)::DOUBLE AS video_sec, o_orderkey % 7 AS failed_c,
+        floor(o_totalprice / 5003 / 25)::BIGINT || '-' || (o_orderkey * 37 % 101) // 34 || '-'
+            || (o_orderkey * 53 % 40) // 20 AS cluster FROM orders""",
+    "oddlabels": """SELECT cluster, CASE WHEN g >= 75 AND a >= 75 THEN '🏆 High Achievers'
+            WHEN g < 60 AND a < 50 THEN '🚨 At-Risk / Disengaged'
+            WHEN l >= (SELECT median(logins) FROM odds) AND g < 70 THEN '⚡ Engaged but Struggling'
+            ELSE '📈 Average / Improving' END AS segment, students
+        FROM (SELECT cluster, avg(avg_grade) AS g, avg(att_rate) AS a, avg(logins) AS l,
+            count(*) AS students FROM odds GROUP BY cluster)""",
     "labelled": """SELECT cluster, CASE WHEN g >= 75 AND a >= 75 THEN '🏆 High Achievers'
             WHEN g < 60 AND a < 50 THEN '🚨 At-Risk / Disengaged'
             WHEN l >= (SELECT median(logins) FROM members) AND g < 70
@@ -244,6 +268,7 @@ def _z(col: str) -> str:
 
 _NAMED = "SELECT student_id, course_name, group_name FROM students"
 _CONCEPT_COLUMNS = [f"Brand#{i}" for i in range(1, 26)]
+_GRID_CONCEPTS = [*_CONCEPT_COLUMNS, "Never taught"]
 
 REPORTS: dict[str, str] = {
     "raw_courses": "SELECT * FROM courses",
@@ -322,17 +347,18 @@ REPORTS: dict[str, str] = {
         round(s, 6) AS std FROM (
         SELECT type, stddev_samp(score) AS s FROM grades WHERE type IS NOT NULL GROUP BY type) v
         ORDER BY s DESC, v.type LIMIT 1""",
-    "score_histogram": """SELECT type, least(floor(score * 40 / 100.0::DOUBLE)::INTEGER + 1, 40)
-        AS bin, count(*) AS count FROM grades
-        WHERE type IS NOT NULL AND score BETWEEN 0 AND 100 GROUP BY 1, 2""",
+    "score_histogram": """SELECT type, CASE WHEN score < 0 THEN 0 WHEN score > 100 THEN 41
+        ELSE least(floor(score * 40 / 100.0::DOUBLE)::INTEGER + 1, 40) END AS bin, count(*) AS count
+        FROM grades WHERE type IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2""",
     "score_by_course": """SELECT course_name, round(avg(score), 6) AS mean,
         round(stddev_samp(score), 6) AS std, round(median(score), 6) AS median,
         count(score) AS count FROM cscore GROUP BY course_name""",
-    "course_grade_gap": """SELECT arg_max(course_name, m) AS best_course,
-        arg_min(course_name, m) AS worst_course, round(max(m) - min(m), 6) AS gap,
-        arg_max(course_name, s) AS widest_course, round(max(s), 6) AS widest_std
-        FROM (SELECT course_name, avg(score) AS m, stddev_samp(score) AS s FROM cscore
-            GROUP BY course_name)""",
+    "course_grade_gap": """SELECT
+        (SELECT course_name FROM cstats ORDER BY m DESC NULLS LAST, course_name DESC LIMIT 1) AS best_course,
+        (SELECT course_name FROM cstats ORDER BY m NULLS LAST, course_name LIMIT 1) AS worst_course,
+        round(max(m) - min(m), 6) AS gap,
+        (SELECT course_name FROM cstats ORDER BY s DESC NULLS LAST, course_name DESC LIMIT 1) AS widest_course,
+        round(max(s), 6) AS widest_std FROM cstats""",
     "score_box_by_course": _box("cscore", "course_name"),
     "attendance_vs_grade": f"""SELECT student_id, round(att_rate, 6) AS att_rate,
         round(avg_grade, 6) AS avg_grade, band_ord, band, course_name, group_name
@@ -394,12 +420,15 @@ REPORTS: dict[str, str] = {
     "biggest_weak_spot": """SELECT concept_name, course_name, round(fail_rate, 6) AS fail_rate
         FROM ccrate LEFT JOIN courses USING (course_id)
         ORDER BY ccrate.fail_rate DESC, concept_name, course_id LIMIT 1""",
-    "course_concept_grid": """SELECT course_name, concept_name,
+    "course_concept_grid": """SELECT course_name, concept_name, round(avg(fail_rate), 6) AS fail_rate
+        FROM ccrate JOIN courses USING (course_id)
+        WHERE course_name IS NOT NULL AND concept_name IS NOT NULL GROUP BY 1, 2""",
+    "course_concept_grid_listed": """SELECT course_name, concept_name,
         round(coalesce(avg(fail_rate), 0), 6) AS fail_rate
-        FROM (SELECT DISTINCT course_name FROM ccrate JOIN courses USING (course_id))
-        CROSS JOIN (SELECT DISTINCT concept_name FROM ccrate JOIN courses USING (course_id))
+        FROM (SELECT DISTINCT course_name FROM ccrate JOIN courses USING (course_id) WHERE course_name IS NOT NULL)
+        CROSS JOIN (SELECT unnest([%s]) AS concept_name)
         LEFT JOIN (SELECT * FROM ccrate JOIN courses USING (course_id))
-            USING (course_name, concept_name) GROUP BY 1, 2""",
+            USING (course_name, concept_name) GROUP BY 1, 2""" % ", ".join(f"'{c}'" for c in _GRID_CONCEPTS),
     "course_concept_pivot": "SELECT course_name, "
         + ", ".join(
             f"""round(coalesce(avg(fail_rate) FILTER (concept_name = '{c}'), 0), 6) AS "{c}" """
@@ -429,9 +458,12 @@ REPORTS: dict[str, str] = {
         + " FROM heat GROUP BY month",
     "age_band_stats": """SELECT band_ord, age_band, round(avg_grade, 6) AS avg_grade,
         round(att_rate, 6) AS att_rate, round(logins, 6) AS logins, count FROM ages""",
-    "age_band_leaders": """SELECT arg_max(age_band, avg_grade) AS best_grade_band,
-        round(max(avg_grade), 6) AS best_grade, arg_max(age_band, logins) AS most_engaged_band,
-        arg_max(age_band, att_rate) AS best_attendance_band FROM ages""",
+    "age_band_leaders": """SELECT
+        (SELECT age_band FROM ages ORDER BY avg_grade DESC NULLS LAST, band_ord DESC LIMIT 1) AS best_grade_band,
+        round(max(avg_grade), 6) AS best_grade,
+        (SELECT age_band FROM ages ORDER BY logins DESC NULLS LAST, band_ord DESC LIMIT 1) AS most_engaged_band,
+        (SELECT age_band FROM ages ORDER BY att_rate DESC NULLS LAST, band_ord DESC LIMIT 1)
+            AS best_attendance_band FROM ages""",
     "stated_vs_true": "SELECT * REPLACE (round(disc_pct, 6) AS disc_pct) FROM audit",
     "overcounted_groups":
         "SELECT * REPLACE (round(disc_pct, 6) AS disc_pct) FROM audit WHERE disc_pct > 40",
@@ -495,6 +527,36 @@ REPORTS: dict[str, str] = {
         UNION ALL SELECT 'Deploy late-submission reminders',
             'Late submission rate is ' || format('{:.1f}%', late_rate_pct),
             'Academic operations', '1 week', 'High' FROM inputs)""",
+    "cluster_labels": "SELECT cluster, segment, students FROM oddlabels",
+    "cluster_profile": """SELECT segment, count(*) AS students, round(avg(att_rate), 6) AS att_rate,
+        round(avg(avg_grade), 6) AS avg_grade, round(avg(logins), 6) AS logins,
+        round(avg(video_sec), 6) AS video_sec, round(avg(failed_c), 6) AS failed_c
+        FROM odds JOIN oddlabels USING (cluster) GROUP BY segment""",
+    "course_modules": """SELECT r_regionkey AS course_id, i::INTEGER AS number,
+        r_name || ' "' || i || '"' AS module
+        FROM (SELECT *, unnest(range(1, r_regionkey + 3)) AS i FROM region)""",
+    "oversized_groups": """SELECT group_id, group_name, count(*) AS true_count FROM students
+        GROUP BY group_id, group_name HAVING count(*) > 45""",
+    "enriched_students": """SELECT student_id, full_name, group_id, course_id, instructor, group_name,
+        course_name FROM students""",
+    "students_of_low_groups": """SELECT student_id, full_name, group_id FROM students
+        WHERE group_id IN (SELECT group_id FROM grate WHERE att_rate < (SELECT avg(att_rate) FROM grate))""",
+    "group_rate_texts": """SELECT group_id, round_even(round(att_rate, 6), 1) || '%' AS att_rate FROM grate""",
+    "cumulative_attendance": """SELECT student_id, strftime(start, '%Y-%m-%d') || '/' ||
+        strftime(start + INTERVAL 6 DAY, '%Y-%m-%d') AS week, round(rate, 6) AS att_rate, rate < 60 AS below
+        FROM (SELECT student_id, start, sum(hits) OVER so_far / sum(n) OVER so_far * 100 AS rate
+            FROM (SELECT student_id, date_trunc('week', session_datetime) AS start, count(*) AS n,
+                count(*) FILTER (status = 'attended') AS hits FROM attendance
+                WHERE student_id IS NOT NULL AND session_datetime IS NOT NULL GROUP BY 1, 2)
+            WINDOW so_far AS (PARTITION BY student_id ORDER BY start
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    "first_score_warning": """SELECT student_id, min(date) AS first_date,
+        round(first(score ORDER BY date, assessment_id, score), 6) AS first_score FROM grades
+        WHERE type = '1-URGENT' AND score IS NOT NULL AND student_id IS NOT NULL
+        GROUP BY student_id HAVING first(score ORDER BY date, assessment_id, score) < 55""",
+    "assessment_label_frequency": "SELECT label, count(*) AS count FROM lscore GROUP BY label",
+    "score_box_by_label": _box("lscore", "label"),
+    "score_density_by_label": "SELECT label, x, round(density, 6) AS density FROM ldensity",
 }
 
 
@@ -512,5 +574,5 @@ def oracle_queries() -> dict[str, str]:
         views: dict[str, str] = {}
         _needed(body, views)
         head = ",\n".join(f"{name} AS ({sql})" for name, sql in views.items())
-        queries[report] = f"WITH {head}\n{body}"
+        queries[report] = f"WITH {head}\n{body}" if views else body
     return queries

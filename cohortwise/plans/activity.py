@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions import bands as B
@@ -14,7 +16,7 @@ from cohortwise.operators.features import student_metrics
 from cohortwise.operators.grouping import (
     agg_by, arg_extreme, count_by, scalars, share, with_scalars,
 )
-from cohortwise.operators.reshape import dense_long, pivot_days, pivot_rate
+from cohortwise.operators.reshape import cells_long, pivot_days, pivot_rate
 from cohortwise.operators.rollups import (
     attendance_days, attendance_rate, concept_months, result_rate,
 )
@@ -67,15 +69,15 @@ def biggest_weak_spot(t: CohortTables) -> DataFrame:
     return concept_fail_by_course(t).limit(1).select("concept_name", "course_name", "fail_rate")
 
 
-def course_concept_grid(t: CohortTables) -> DataFrame:
-    """Failure rate for every course with every concept, 0 where never met."""
+def course_concept_grid(t: CohortTables, concepts: Sequence[str] = ()) -> DataFrame:
+    """Failure rate of every concept met in a course; 0 for listed concepts never met."""
     courses = t.get("courses", "course_id", "course_name")
     named = _concept_course_rates(t).join(courses, "course_id")
-    return dense_long(named, "course_name", "concept_name", "fail_rate")
+    return cells_long(named, "course_name", "concept_name", "fail_rate", concepts)
 
 
 def course_concept_pivot(t: CohortTables, concepts: list[str]) -> DataFrame:
-    """The grid as one column per listed concept."""
+    """The grid as one column per listed concept; any other concept raises an error."""
     courses = t.get("courses", "course_id", "course_name")
     named = _concept_course_rates(t).join(courses, "course_id")
     return pivot_rate(named, "course_name", "concept_name", "fail_rate", concepts)
@@ -90,14 +92,17 @@ def worst_concept(t: CohortTables) -> DataFrame:
 def worst_concept_trend(t: CohortTables) -> DataFrame:
     """Monthly pass rate and attempts of the concept failed most.
 
-    One pass over the results: the concept is found in the same monthly counts
-    its trend is read from.
+    One pass over the results: each concept's months, as many as the calendar has, are
+    gathered beside its failure rate, and the worst concept's are laid out again.
     """
-    months = concept_months(t, "concept_name", "start")
-    fails = result_rate(months, ["concept_name"], "failed", "fail_rate")
-    worst = arg_extreme(fails, "fail_rate", "concept_name").select("concept_name").scalar()
-    own = months.where(F.col("concept_name") == worst).na.drop(subset=["start"])
-    return own.select(
+    months = concept_months(t, "concept_name", "start").na.drop(subset=["concept_name"])
+    month = F.struct("start", "passed", "results", "known")
+    concepts = months.groupBy("concept_name").agg(
+        (F.sum("failed") / F.sum("results") * 100).alias("fail_rate"),
+        F.collect_list(month).alias("months"),
+    )
+    own = arg_extreme(concepts, "fail_rate", "concept_name").select(F.inline("months"))
+    return own.na.drop(subset=["start"]).select(
         month_key("start").alias("month"),
         (F.col("passed") / F.col("results") * 100).alias("pass_rate"),
         F.col("known").alias("attempts"),
@@ -146,6 +151,26 @@ def dip_week(t: CohortTables) -> DataFrame:
     return arg_extreme(weeks, "att_rate", "week", largest=False).select("week", "att_rate")
 
 
+def cumulative_attendance(t: CohortTables, limit: float = 60.0) -> DataFrame:
+    """Attendance rate of each student up to the end of each week, and whether it is below ``limit``."""
+    rows = t.get("attendance", "student_id", "status", "session_datetime")
+    weeks = agg_by(
+        rows.select("student_id", "status", week_start("session_datetime").alias("start")),
+        ["student_id", "start"],
+        sessions=F.count(F.lit(1)), attended=F.count_if(F.col("status") == "attended"),
+    )
+    # A student has at most as many rows here as the calendar has weeks.
+    so_far = Window.partitionBy("student_id").orderBy("start").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    rate = F.sum("attended").over(so_far) / F.sum("sessions").over(so_far) * 100
+    running = weeks.withColumn("att_rate", rate)
+    return running.select(
+        "student_id", week_key("start").alias("week"), "att_rate",
+        (F.col("att_rate") < limit).alias("below"),
+    )
+
+
 def month_dow_heatmap(t: CohortTables) -> DataFrame:
     """Attendance rate per month name and day name."""
     rates = attendance_rate(
@@ -180,11 +205,16 @@ def age_band_stats(t: CohortTables) -> DataFrame:
 
 
 def age_band_leaders(t: CohortTables) -> DataFrame:
-    """Best age band by grade, by logins and by attendance."""
+    """Best age band by grade, by logins and by attendance; of equal ones the oldest."""
+
+    def leader(measure: str) -> Column:
+        order = F.when(F.col(measure).isNotNull(), F.struct(measure, "band_ord"))
+        return F.max_by("age_band", order)
+
     return scalars(
         age_band_stats(t),
-        best_grade_band=F.max_by("age_band", "avg_grade"),
+        best_grade_band=leader("avg_grade"),
         best_grade=F.max("avg_grade"),
-        most_engaged_band=F.max_by("age_band", "logins"),
-        best_attendance_band=F.max_by("age_band", "att_rate"),
+        most_engaged_band=leader("logins"),
+        best_attendance_band=leader("att_rate"),
     )

@@ -16,7 +16,9 @@ from cohortwise.operators.segmentation import cluster_students, label_clusters
 from cohortwise.operators.segmentation import segment_profile as profile_of
 from cohortwise.operators.similarity import concept_profiles
 from cohortwise.operators.similarity import profile_similarity as similar
-from cohortwise.plans.overview import concept_fail, group_rates, student_risk, true_sizes
+from cohortwise.plans.overview import (
+    attendance_and_grades, concept_fail, risk_count, true_sizes,
+)
 from cohortwise.sources.tables import CohortTables
 
 # Fixed value: groups of this size and below are not merge candidates.
@@ -154,27 +156,35 @@ def risk_tiers(t: CohortTables, grain: str = "month") -> DataFrame:
 
 def decision_inputs(t: CohortTables) -> DataFrame:
     """The figures behind the suggested decisions, in one row."""
+    # The column names, which readers of the stored table expect.
     worst = arg_extreme(concept_fail(t), "fail_rate", "concept_name")
     worst = worst.select(F.struct("concept_name", "fail_rate")).scalar()
     smallest = F.min_by(F.struct("group_name", "true_count"), F.struct("true_count", "group_id"))
     smallest = true_sizes(t).agg(smallest).scalar()
-    lowest = F.min_by("group_name", F.struct("att_rate", "group_id")).alias("group_name")
-    rates = group_rates(t).agg(
-        F.struct(lowest, F.min("att_rate").alias("low"), F.avg("att_rate").alias("mean"))
-    ).scalar()
     late = t.get("submissions", "is_late").agg(A.share_true("is_late")).scalar()
-    at_risk = scalars(
-        student_risk(t),
-        risk_student_count=F.coalesce(F.sum(F.col("is_at_risk").cast("long")), F.lit(0)),
+    groups = t.get("groups", "group_id", "group_name").select(
+        F.lit("group").alias("kind"), F.col("group_id").cast("string").alias("key"), "group_id", "group_name"
     )
-    return at_risk.select(
+    # Attendance and grades are read once for the group rates and the students at risk.
+    summed = attendance_and_grades(t).join(groups, ["kind", "key"], "left")
+    group_rate = F.when(F.col("kind") == "group", F.col("att_rate"))
+    order = F.when(group_rate.isNotNull(), F.struct("att_rate", "group_id"))
+    rates = scalars(
+        summed,
+        rates=F.struct(
+            F.min_by("group_name", order).alias("group_name"),
+            F.min(group_rate).alias("low"), F.avg(group_rate).alias("mean"),
+        ),
+        risk_student_count=risk_count(),
+    )
+    return rates.select(
         worst["concept_name"].alias("worst_concept"),
         worst["fail_rate"].alias("worst_concept_fail_pct"),
         smallest["group_name"].alias("unviable_group_name"),
         smallest["true_count"].alias("unviable_group_size"),
-        rates["group_name"].alias("lowest_att_group_name"),
-        rates["low"].alias("lowest_att_group_rate"),
-        rates["mean"].alias("platform_avg_att"),
+        F.col("rates.group_name").alias("lowest_att_group_name"),
+        F.col("rates.low").alias("lowest_att_group_rate"),
+        F.col("rates.mean").alias("platform_avg_att"),
         "risk_student_count",
         late.alias("late_rate_pct"),
     )

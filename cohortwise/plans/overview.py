@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions import aggregates as A
 from cohortwise.functions.periods import month_key, month_start
-from cohortwise.functions.scalars import flag_below, gap_size, vs_mean_flag
+from cohortwise.functions.scalars import flag_below, gap_size, percent_text, vs_mean_flag
+from cohortwise.operators.cleaning import enrich_students
 from cohortwise.operators.features import student_metrics
 from cohortwise.operators.grouping import (
-    agg_by, count_by, scalars, top_values, where_vs_mean,
+    agg_by, count_by, restrict_to, scalars, top_values, where_vs_mean,
 )
 from cohortwise.operators.rollups import (
     attendance_days, attendance_rate, concept_months, result_rate,
@@ -138,29 +139,106 @@ def students_by_group_course(t: CohortTables) -> DataFrame:
     return count_by(named, ["course_name", "group_name"], "students")
 
 
+def attendance_and_grades(t: CohortTables) -> DataFrame:
+    """Sums of attendance and scores: one row in all, one per student and one per group.
+
+    ``kind`` is all, student or group and ``key`` the id as text. Attendance and grades are read
+    once: their rows are summed per (group, student), and each of these few rows counts for its
+    student, its group and the whole. ``listed`` marks students of the student list, with or without rows.
+    """
+    hit = F.when(F.col("status") == "attended", 1.0).otherwise(0.0).alias("hit")
+    attendance = t.get("attendance", "student_id", "group_id", "status").select("student_id", "group_id", hit)
+    grades = t.get("grades", "student_id", "score").select("student_id", F.col("score").cast("double").alias("score"))
+    stacked = attendance.unionByName(grades, allowMissingColumns=True)
+    pairs = stacked.groupBy("group_id", "student_id").agg(
+        F.count("hit").alias("sessions"), F.sum("hit").alias("attended"),
+        F.count("score").alias("scores"), F.sum("score").alias("points"),
+    )
+    numbers = ["sessions", "attended", "scores", "points"]
+
+    def place(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+
+    places = F.array(
+        place("all", F.lit("")), place("student", F.col("student_id")), place("group", F.col("group_id"))
+    )
+    counted = pairs.select(F.explode(places).alias("at"), *numbers, F.lit(False).alias("listed"))
+    students = t.get("students", "student_id").select(
+        place("student", F.col("student_id")).alias("at"), F.lit(True).alias("listed")
+    )
+    every = counted.unionByName(students, allowMissingColumns=True)
+    return (
+        every.select("at.*", *numbers, "listed").na.drop(subset=["key"]).groupBy("kind", "key")
+        .agg(*[F.sum(n).alias(n) for n in numbers], F.max("listed").alias("listed"))
+        .withColumns(
+            {
+                "att_rate": F.try_divide(F.col("attended"), F.col("sessions")) * 100,
+                "avg_grade": F.try_divide(F.col("points"), F.col("scores")),
+            }
+        )
+    )
+
+
+def risk_count(att_limit: float = ATTENDANCE_LIMIT, grade_limit: float = GRADE_LIMIT) -> Column:
+    """How many listed students of :func:`attendance_and_grades` lie below either limit."""
+    flag = flag_below({"att_rate": att_limit, "avg_grade": grade_limit})
+    return F.count_if((F.col("kind") == "student") & F.col("listed") & flag)
+
+
 def platform_kpis(t: CohortTables) -> DataFrame:
     """Headline figures: row-weighted, per-student and per-group averages side by side."""
-    risk = scalars(
-        student_risk(t),
-        students=F.count(F.lit(1)),
-        at_risk=F.coalesce(F.sum(F.col("is_at_risk").cast("long")), F.lit(0)),
-        at_risk_pct=A.share_true("is_at_risk"),
-    )
-    per_student = student_metrics(t, "att_rate", "avg_grade").agg(
-        F.struct(F.avg("att_rate").alias("att"), F.avg("avg_grade").alias("grade"))
-    ).scalar()
-    group_rate = group_rates(t).agg(F.avg("att_rate")).scalar()
-    all_rows = attendance_rate(attendance_days(t), "rate").scalar()
+    summed = attendance_and_grades(t)
+
+    def mean(kind: str, rate: str) -> Column:
+        return F.avg(F.when(F.col("kind") == kind, F.col(rate)))
+
     rows = F.count(F.lit(1))
-    return risk.select(
+    found = scalars(
+        summed,
+        students=F.count_if((F.col("kind") == "student") & F.col("listed")),
+        attendance_pct=mean("all", "att_rate"),
+        grade_mean=mean("all", "avg_grade"),
+        mean_student_attendance=mean("student", "att_rate"),
+        mean_student_grade=mean("student", "avg_grade"),
+        mean_group_attendance=mean("group", "att_rate"),
+        at_risk=risk_count(),
+    )
+    return found.select(
         "students",
         t.get("groups", "group_id").agg(rows).scalar().alias("groups"),
         t.get("courses", "course_id").agg(rows).scalar().alias("courses"),
-        all_rows.alias("attendance_pct"),
-        t.get("grades", "score").agg(F.avg("score")).scalar().alias("grade_mean"),
-        per_student["att"].alias("mean_student_attendance"),
-        per_student["grade"].alias("mean_student_grade"),
-        group_rate.alias("mean_group_attendance"),
-        "at_risk",
-        "at_risk_pct",
+        "attendance_pct", "grade_mean", "mean_student_attendance", "mean_student_grade",
+        "mean_group_attendance", "at_risk",
+        F.try_divide(F.col("at_risk") * 100.0, F.col("students")).alias("at_risk_pct"),
     )
+
+
+def oversized_groups(t: CohortTables, cap: int = 45) -> DataFrame:
+    """Groups with more than ``cap`` students enrolled, largest first."""
+    sizes = true_sizes(t).where(F.col("true_count") > cap)
+    return sizes.orderBy(F.desc("true_count"), "group_id")
+
+
+def course_modules(t: CohortTables) -> DataFrame:
+    """One row per module of each course, numbered from 1; unreadable lists have none."""
+    listed = F.from_json("modules", "array<string>")
+    return t.get("courses", "course_id", "modules").select(
+        "course_id", F.posexplode(listed).alias("number", "module")
+    ).select("course_id", (F.col("number") + 1).alias("number"), "module")
+
+
+def enriched_students(t: CohortTables) -> DataFrame:
+    """Students with their group's name, course and instructor, joined here."""
+    plain = t.get("students", "student_id", "full_name", "group_id")
+    return enrich_students(plain, t.get("groups"), t.get("courses", "course_id", "course_name"))
+
+
+def students_of_low_groups(t: CohortTables) -> DataFrame:
+    """Students whose group lies below the mean of group rates."""
+    students = t.get("students", "student_id", "full_name", "group_id")
+    return restrict_to(students, low_attendance_groups(t), "group_id")
+
+
+def group_rate_texts(t: CohortTables) -> DataFrame:
+    """Group attendance rates as texts with one digit and a percent sign."""
+    return group_rates(t).select("group_id", percent_text(F.round("att_rate", 6)).alias("att_rate"))

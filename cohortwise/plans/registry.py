@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -16,11 +16,17 @@ def _raw(name: str) -> Report:
     return lambda t: t.get(name)
 
 
-def reports(event_grain: str = "month", date_grain: str | None = None) -> dict[str, Report]:
+def reports(
+    event_grain: str = "month",
+    date_grain: str | None = None,
+    type_labels: Mapping[str, str] = scores.TYPE_LABELS,
+    first_kind: str = "assignment",
+) -> dict[str, Report]:
     """Every report by name.
 
     ``event_grain`` is the period of the activity halves, ``date_grain`` the
-    truncation of assessment dates in the grade trends.
+    truncation of assessment dates in the grade trends, ``type_labels`` the display names of
+    assessment types, ``first_kind`` the type whose first score may give a warning.
     """
     plain = [
         overview.platform_kpis, overview.student_risk, overview.concept_fail,
@@ -44,6 +50,9 @@ def reports(event_grain: str = "month", date_grain: str | None = None) -> dict[s
         cohorts.group_sizes, cohorts.merge_candidates, cohorts.top_merge_candidates,
         cohorts.student_segments, cohorts.segment_profile, cohorts.course_labels,
         cohorts.decision_inputs, cohorts.decisions,
+        overview.course_modules, overview.oversized_groups, overview.enriched_students,
+        overview.students_of_low_groups, overview.group_rate_texts,
+        activity.cumulative_attendance,
     ]
     named: dict[str, Report] = {f"raw_{name}": _raw(name) for name in TABLES}
     named |= {report.__name__: report for report in plain}
@@ -57,6 +66,10 @@ def reports(event_grain: str = "month", date_grain: str | None = None) -> dict[s
         "grade_trend": lambda t: scores.grade_trend(t, date_grain),
         "trend_slopes": lambda t: scores.trend_slopes(t, date_grain),
         "first_last": lambda t: scores.first_and_last(t, date_grain),
+        "first_score_warning": lambda t: scores.first_score_warning(t, kind=first_kind),
+        "assessment_label_frequency": lambda t: scores.assessment_label_frequency(t, type_labels),
+        "score_box_by_label": lambda t: scores.score_box_by_label(t, type_labels),
+        "score_density_by_label": lambda t: scores.score_density_by_label(t, type_labels),
         "trajectory_counts": lambda t: scores.trajectory_counts(t, date_grain),
     }
     return named

@@ -65,6 +65,22 @@ def assessment_label_frequency(
     return frequency(named, "label")
 
 
+def _labelled_scores(t: CohortTables, labels: Mapping[str, str]) -> DataFrame:
+    named = map_values("type", labels).alias("label")
+    return t.get("grades", "type", "score").select(named, "score").na.drop(subset=["label"])
+
+
+def score_box_by_label(t: CohortTables, labels: Mapping[str, str] = TYPE_LABELS) -> DataFrame:
+    """Box summary under display names; types without one are left out."""
+    return box_stats_by(_labelled_scores(t, labels), "label", "score")
+
+
+def score_density_by_label(
+    t: CohortTables, labels: Mapping[str, str] = TYPE_LABELS, grid: Sequence[float] = tuple(SCORE_GRID)
+) -> DataFrame:
+    return density_by(_labelled_scores(t, labels), "label", "score", grid)
+
+
 def most_volatile_type(t: CohortTables) -> DataFrame:
     """The assessment type whose scores spread widest."""
     widest = arg_extreme(score_by_type(t), "std", "type")
@@ -91,14 +107,22 @@ def score_by_course(t: CohortTables) -> DataFrame:
 
 
 def course_grade_gap(t: CohortTables) -> DataFrame:
-    """Best and worst course by mean score, their gap, and the widest spread."""
-    stats = describe_by(_course_scores(t), "course_name", "score")
+    """Best and worst course by mean score, their gap, and the widest spread.
+
+    Of equal courses the first by name is the worst and the last by name the best or widest.
+    """
+    scores = _course_scores(t)
+    stats = agg_by(scores, "course_name", mean=F.avg("score"), std=F.stddev_samp("score"))
+
+    def order(measure: str) -> Column:
+        return F.when(F.col(measure).isNotNull(), F.struct(measure, "course_name"))
+
     return scalars(
         stats,
-        best_course=F.max_by("course_name", "mean"),
-        worst_course=F.min_by("course_name", "mean"),
+        best_course=F.max_by("course_name", order("mean")),
+        worst_course=F.min_by("course_name", order("mean")),
         gap=F.max("mean") - F.min("mean"),
-        widest_course=F.max_by("course_name", "std"),
+        widest_course=F.max_by("course_name", order("std")),
         widest_std=F.max("std"),
     )
 
@@ -107,6 +131,17 @@ def score_box_by_course(t: CohortTables) -> DataFrame:
     return box_stats_by(_course_scores(t), "course_name", "score")
 
 
+def first_score_warning(t: CohortTables, limit: float = 55.0, kind: str = "assignment") -> DataFrame:
+    """Students whose first scored assessment of the kind lies below ``limit``."""
+    scored = t.get("grades", "student_id", "assessment_id", "date", "type", "score")
+    scored = scored.where((F.col("type") == kind) & F.col("score").isNotNull())
+    order = F.struct("date", "assessment_id", "score")
+    first = agg_by(
+        scored, "student_id", first_date=F.min("date"), first_score=F.min_by("score", order)
+    )
+    return first.where(F.col("first_score") < limit)
+
+
 # --- against attendance -------------------------------------------------------------------
 
 
@@ -214,6 +249,7 @@ def _paired(t: CohortTables, **sub_sums: Column) -> DataFrame:
     sums = agg_by(
         _known_scores(t), _PAIR,
         _n=F.count(F.lit(1)).cast("double"), _y=F.sum(score), _yy=F.sum(score * score),
+        _low=F.min(score), _high=F.max(score),
     )
     return agg_by(_buffered(t), _PAIR, **sub_sums).join(sums, _PAIR)
 
@@ -267,11 +303,14 @@ def submission_ols(t: CohortTables, limit: float = 500.0) -> DataFrame:
             f"{name}_n": F.count(own),
             f"{name}_x": A.total(own),
             f"{name}_xx": A.total(own * own),
+            f"{name}_min": F.min(own),
+            f"{name}_max": F.max(own),
         }
     pairs = _paired(t, **sums)
     cells = []
     for name, late in (("late", True), ("ontime", False)):
         n, sx, sxx = (F.col(f"{name}_{part}") for part in ("n", "x", "xx"))
+        low, high = (F.when(n > 0, F.col(c)) for c in ("_low", "_high"))
         line = line_from_sums(
             n=F.nullif(F.sum(n * F.col("_n")), F.lit(0.0)),
             sx=F.sum(sx * F.col("_n")),
@@ -279,6 +318,8 @@ def submission_ols(t: CohortTables, limit: float = 500.0) -> DataFrame:
             sxx=F.sum(sxx * F.col("_n")),
             sxy=F.sum(sx * F.col("_y")),
             syy=F.sum(n * F.col("_yy")),
+            x_moves=F.min(f"{name}_min") < F.max(f"{name}_max"),
+            y_moves=F.min(low) < F.max(high),
         )
         cells.append(
             F.struct(F.lit(late).alias("is_late"), *[e.alias(part) for part, e in line.items()])

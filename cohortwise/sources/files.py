@@ -11,6 +11,7 @@ from cohortwise.operators.cleaning import (
     drop_if_present, enrich_students, null_outside, to_number, to_timestamp_ntz,
 )
 from cohortwise.schemas import DIRTY_NUMBERS, DIRTY_TIMES, SCHEMAS
+from cohortwise.sources.sinks import current_path
 from cohortwise.sources.tables import TABLES, CohortTables
 
 # File names, texts read as missing, index columns left by exports,
@@ -25,22 +26,27 @@ FILES = {
     "engagement": "engagement_events_clean.csv",
     "submissions": "assignment_submissions_clean.csv",
 }
-MISSING_TEXTS = ["", "#N/A", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 STRAY_COLUMNS = ["Unnamed: 0", "_c0", "_id"]
 MAX_EVENT_SECONDS = 7200
 
 
-def read_csv(spark: SparkSession, folder: str, table: str) -> DataFrame:
+def read_csv(spark: SparkSession, folder: str, table: str, multi_line: bool = True) -> DataFrame:
     """One CSV table with typed columns.
 
-    Columns are matched by header name. Cells may hold quotes written twice.
+    Columns are matched by header name. Cells may hold quotes written twice and, unless
+    ``multi_line`` is off, line breaks inside quotes; each file is then read by one task,
+    so cut large tables into several files or turn it off for files without such cells.
     Columns beyond the declared ones stay as text; declared ones that the file
     lacks are NULL.
     """
     text = (
         spark.read.option("header", True)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .csv(f"{folder}/{FILES[table]}")
     )
     text = drop_if_present(text, STRAY_COLUMNS)
@@ -77,7 +83,7 @@ def load_files(spark: SparkSession, folder: str) -> CohortTables:
 
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table, without the surrogate id column other stores may add."""
-    return drop_if_present(spark.read.parquet(f"{root}/{name}"), ["_id"])
+    return drop_if_present(spark.read.parquet(current_path(spark, root, name)), ["_id"])
 
 
 def load_store(spark: SparkSession, root: str) -> CohortTables | None:

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortwise.operators import cleaning, distribution, grouping, ordering, regression, reshape
-from cohortwise.operators.joins import join_small
 from cohortwise.operators.scaling import min_max_norm, zscore
 
 
@@ -107,7 +106,9 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame(
         [("a", v) for v in [0.0, 2.49, 2.5, 100.0, 100.1, -0.1, None]], "k string, v double"
     )
-    assert rows(distribution.histogram(df, "k", "v")) == [("a", 1, 2), ("a", 2, 1), ("a", 40, 1)]
+    assert rows(distribution.histogram(df, "k", "v")) == [
+        ("a", 0, 1), ("a", 1, 2), ("a", 2, 1), ("a", 40, 1), ("a", 41, 1),
+    ]
 
 
 def test_regression(spark):
@@ -128,9 +129,12 @@ def test_scaling_of_constant_columns(spark):
 
 def test_grid_and_pivots(spark):
     df = spark.createDataFrame([("c1", "a", 10.0), ("c2", "b", 20.0)], "c string, n string, v double")
-    assert rows(reshape.dense_long(df, "c", "n", "v")) == [
-        ("c1", "a", 10.0), ("c1", "b", 0.0), ("c2", "a", 0.0), ("c2", "b", 20.0),
+    assert rows(reshape.cells_long(df, "c", "n", "v")) == [("c1", "a", 10.0), ("c2", "b", 20.0)]
+    assert rows(reshape.cells_long(df, "c", "n", "v", ["a", "z"])) == [
+        ("c1", "a", 10.0), ("c1", "z", 0.0), ("c2", "a", 0.0), ("c2", "b", 20.0), ("c2", "z", 0.0),
     ]
+    with pytest.raises(Exception, match="n without a column: b"):
+        reshape.pivot_rate(df, "c", "n", "v", ["a"]).collect()
     assert rows(reshape.pivot_rate(df, "c", "n", "v", ["a", "b"])) == [
         ("c1", 10.0, 0.0), ("c2", 0.0, 20.0),
     ]
@@ -181,40 +185,34 @@ def test_row_order_and_partitioning_do_not_matter(spark):
         assert rows(make(df)) == rows(make(shuffled))
 
 
-def test_summaries_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_far_values_and_heavy_ties_keep_their_places(spark, partitions):
+    """One value far away leaves all others in the first bin; ties fold into one row."""
+    values = [1e12, -5.0] + [float(i % 97) for i in range(3000)] + [12.25] * 2000
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(partitions)
+    got = ordering.exact_quantiles(df, [], "v", {"a": 0.1, "b": 0.5, "c": 0.999, "d": 1.0}).first()
+    want = pd.Series(values).quantile([0.1, 0.5, 0.999, 1.0])
+    np.testing.assert_allclose(list(got), want.tolist(), rtol=1e-12)
+    bands = {r["id"]: r["band_ord"] for r in ordering.quartile_band(df, "v", "id").collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i], i))
+    assert bands == {i: max(1, -(-4 * r // (len(values) - 1))) for r, i in enumerate(order)}
+
+
+def test_quartiles_of_few_rows(spark):
+    for n in range(1, 12):
+        df = spark.createDataFrame([(i, 5.0) for i in range(n)], "id long, v double")
+        got = [r["band_ord"] for r in ordering.quartile_band(df, "v", "id").orderBy("id").collect()]
+        assert got == [max(1, -(-4 * r // max(1, n - 1))) for r in range(n)]
+
+
+def test_building_a_quantile_starts_no_job(spark):
     df = skewed(spark)
-    probs = {"q1": 0.25, "m": 0.5}
-    small = (
-        rows(ordering.exact_quantiles(df, "k", "v", probs)),
-        rows(distribution.box_outliers(df, "k", "v")),
-        rows(distribution.describe_by(df, "k", "v")),
-    )
-    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 0)
-    large = (
-        rows(ordering.exact_quantiles(df, "k", "v", probs)),
-        rows(distribution.box_outliers(df, "k", "v")),
-        rows(distribution.describe_by(df, "k", "v")),
-    )
-    assert small[:2] == large[:2]
-    for one, other in zip(small[2], large[2], strict=True):
-        assert one == pytest.approx(other)
-    left = spark.createDataFrame([("a", 1), ("b", 2)], "k string, x int")
-    right = spark.createDataFrame([("a", 9)], "k string, y int")
-    for limit in (0, 10):
-        got = join_small(left, right, ["k"], "left", limit=limit)
-        assert sorted(got.collect()) == [("a", 1, 9), ("b", 2, None)]
-
-
-def test_blocks_split_a_hot_key(spark):
-    """A key with most rows spreads over blocks; none holds the key as a whole."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("quiet", "built only")
     try:
-        df = spark.range(40000).select(
-            F.when(F.col("id") % 4 == 0, F.lit("cold")).otherwise("hot").alias("k"),
-            (F.col("id") * 7919 % 40009).cast("double").alias("v"),
-        )
-        blocks = ordering.value_blocks(df, "k", "v")
-        sizes = {r["_block"]: r["n"] for r in blocks.rows.groupBy("_block").agg(F.count("*").alias("n")).collect()}
+        ordering.exact_quantiles(df, "k", "v", {"m": 0.5})
+        ordering.quartile_band(df, "v", "id")
+        distribution.box_stats_by(df, "k", "v")
+        distribution.density_by(df, "k", "v", [0.0, 1.0])
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("quiet")) == []
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(sizes) >= 6 and max(sizes.values()) < 40000 / 3
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -14,7 +14,7 @@ def folder(tmp_path_factory):
 
     path = tmp_path_factory.mktemp("csv")
     frames = school()
-    frames["courses"]["modules"] = '["Joins & Merges", "Say ""hi"", twice"]'.replace('""', '"')
+    frames["courses"]["modules"] = '["Joins & Merges", "Say \\"hi\\", twice"]'
     frames["courses"]["is_active"] = True
     frames["groups"]["stated_num_students"] = ["40.0", "30", "25", "0", "many"]
     frames["engagement"].loc[0, "duration_seconds"] = 7201
@@ -76,6 +76,50 @@ def test_empty_result_keeps_the_old_table(spark, tmp_path):
     assert files.load_table(spark, root, "s").columns == ["id"]
 
 
+def test_a_failed_write_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cohortwise.sources import sinks
+
+    root = str(tmp_path)
+    materialize(spark.range(3), root, "r")
+    broken = spark.range(4).withColumn("id", F.when(F.col("id") == 3, F.raise_error(F.lit("halfway")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="halfway"):
+        materialize(broken, root, "r")
+    assert files.load_table(spark, root, "r").count() == 3
+
+    def crash():
+        raise OSError("after the write")
+
+    monkeypatch.setattr(sinks.time, "time_ns", crash)
+    with pytest.raises(OSError, match="after the write"):
+        materialize(spark.range(5), root, "r")
+    monkeypatch.undo()
+    assert files.load_table(spark, root, "r").count() == 3
+    assert materialize(spark.range(5), root, "r") and files.load_table(spark, root, "r").count() == 5
+
+
+def test_csv_line_breaks_and_missing_texts(spark, tmp_path):
+    lines = ["course_id,course_name,short_description"]
+    lines += ['C1,First,"two\nlines, ""quoted"""', "C2,Second,one line"]
+    lines += [f"M{i},{text},x" for i, text in enumerate(files.MISSING_TEXTS)]
+    (tmp_path / files.FILES["courses"]).write_text("\n".join(lines) + "\n")
+    rows = {r["course_id"]: r for r in files.read_csv(spark, str(tmp_path), "courses").collect()}
+    assert len(rows) == 2 + len(files.MISSING_TEXTS)
+    assert rows["C1"]["short_description"] == 'two\nlines, "quoted"'
+    assert all(rows[f"M{i}"]["course_name"] is None for i in range(len(files.MISSING_TEXTS)))
+
+
+def test_modules_of_a_course(spark, folder):
+    from cohortwise.plans.overview import course_modules
+
+    path, _ = folder
+    found = [tuple(r) for r in course_modules(files.load_files(spark, path)).collect()]
+    assert sorted(found) == sorted(
+        (f"C{i}", n, m) for i in range(3) for n, m in ((1, "Joins & Merges"), (2, 'Say "hi", twice'))
+    )
+
+
 def test_refresh_writes_every_table_and_store_is_preferred(spark, folder, tmp_path):
     path, _ = folder
     root = str(tmp_path / "store")
