@@ -124,7 +124,7 @@ def pack(
         F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"),
     )
     counted = plain.groupBy("id", "source", "cluster", "size").agg(F.count(F.lit(1)).alias("n"))
-    shards = max(1, round((docs.count() or 0) / shard_rows))
+    shards = max(1, round(docs.count() / shard_rows))
     rows = numbered_copies(counted)
     shard = F.pmod(F.xxhash64("id", "copy", "size", "cluster"), F.lit(shards))
 
