@@ -1,9 +1,9 @@
 """Exact ranks, quantiles and quartile bands that never gather a group in one task.
 
-Quantiles are found by counting: values are counted per key and bin, the bins that hold
-the wanted places are cut into bins again, and only the values of the last bins
-are put in order. No step needs the whole order, and nothing runs before the
-result is asked for.
+Quantiles are found by counting: values are counted per key and bin, and only the values of
+the bins that hold the wanted places are put in order. No step needs the whole order,
+and nothing runs before the result is asked for. Ranks of all rows need the order: rows are
+range-partitioned and each partition is numbered from the rows before it.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.functions.bands import QUARTILE_LABELS, band_label
+from cohortwise.functions.bands import QUARTILE_LABELS, band_label, quantile_bin
 from cohortwise.operators.grouping import known, names
 from cohortwise.session import pinned
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition << 33 | row in partition
-_BINS, _ROUNDS = 1024, 2
+_BINS = 4096
 
 
 def with_position(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
@@ -85,61 +85,42 @@ def matched(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
     return packed.select("*", "_side.*").drop("_side")
 
 
-def _placed_bins(counts: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Counts with ``_bin``: an equal slice of the range of the key's values."""
-    ends = counts.groupBy(*keys).agg(F.min(col).alias("_low"), F.max(col).alias("_high"))
-    slot = F.floor((F.col(col) - F.col("_low")) / (F.col("_high") - F.col("_low")) * _BINS)
-    slot = F.when(F.col("_high") > F.col("_low"), F.least(slot, F.lit(_BINS - 1))).otherwise(F.lit(0))
-    return matched(counts, ends, keys).withColumn("_bin", slot).drop("_low", "_high")
-
-
-def _narrowed(counts: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """The values in the bins that hold a wanted place, places counted inside the bin."""
-    binned = _placed_bins(counts, keys, col)
-    # At most _BINS rows per key.
-    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    filled = binned.groupBy(*keys, "_bin").agg(
-        F.sum("copies").alias("_n"), F.first("wanted").alias("wanted")
-    ).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    inside = F.filter(
-        "wanted",
-        lambda w: (w["place"] >= F.col("_before")) & (w["place"] < F.col("_before") + F.col("_n")),
-    )
-    moved = F.transform(
-        inside,
-        lambda w: F.struct(w["name"].alias("name"), (w["place"] - F.col("_before")).alias("place")),
-    )
-    hits = filled.select(*keys, "_bin", moved.alias("_moved")).where(F.size("_moved") > 0)
-    return binned.drop("wanted").join(hits, [*keys, "_bin"]).withColumnRenamed("_moved", "wanted")
-
-
 def _at_places(
     counts: DataFrame, keys: list[str], col: str, places: Mapping[str, Column]
 ) -> DataFrame:
-    """The values at 0-based ``places`` of each key's order: (keys, name, value, skipped).
+    """The values at 0-based ``places`` of each key's order: (keys, name, value, _all).
 
-    ``places`` are expressions over ``_all``, the rows of the key. ``skipped`` counts the rows of the
-    same value that come before the place. Values are cut into bins twice, so what is put in order
-    in the end is a millionth of a key's range.
+    ``places`` are expressions over ``_all``, the rows of the key. What is put in order in the end is
+    one of 4,096 slices of a key's range for each place.
     """
-    total = counts.groupBy(*keys).agg(F.sum("copies").alias("_all"))
+    stats = counts.groupBy(*keys).agg(
+        F.sum("copies").alias("_all"), F.min(col).alias("_low"), F.max(col).alias("_high")
+    )
+    slot = F.floor((F.col(col) - F.col("_low")) / (F.col("_high") - F.col("_low")) * _BINS)
+    slot = F.when(F.col("_high") > F.col("_low"), F.least(slot, F.lit(_BINS - 1))).otherwise(F.lit(0))
+    binned = matched(counts, stats, keys).withColumn("_bin", slot).drop("_low", "_high")
+    # At most _BINS rows per key.
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    filled = binned.groupBy(*keys, "_bin", "_all").agg(F.sum("copies").alias("_n"))
+    filled = filled.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     wanted = F.array(
         *[F.struct(F.lit(n).alias("name"), p.cast("long").alias("place")) for n, p in places.items()]
     )
-    left = matched(counts, total.select(*keys, wanted.alias("wanted")), keys)
-    groups = list(keys)
-    for number in range(_ROUNDS):
-        left = _narrowed(left, groups, col).withColumnRenamed("_bin", f"_bin{number}")
-        groups.append(f"_bin{number}")
-    running = Window.partitionBy(*groups).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    found = left.withColumn("_before", F.coalesce(F.sum("copies").over(running), F.lit(0)))
-    hit = found.withColumn("_hit", F.explode("wanted")).where(
-        (F.col("_hit.place") >= F.col("_before")) & (F.col("_hit.place") < F.col("_before") + F.col("copies"))
+    inside = F.filter(
+        wanted,
+        lambda w: (w["place"] >= F.col("_before")) & (w["place"] < F.col("_before") + F.col("_n")),
+    )
+    hits = filled.withColumn("_wanted", inside).where(F.size("_wanted") > 0).select(
+        *keys, "_bin", "_before", "_wanted"
     )
-    return hit.select(
-        *keys, F.col("_hit.name").alias("name"), F.col(col).alias("value"),
-        (F.col("_hit.place") - F.col("_before")).alias("skipped"),
+    running = Window.partitionBy(*keys, "_bin").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    found = binned.join(hits, [*keys, "_bin"]).withColumn(
+        "_upto", F.col("_before") + F.coalesce(F.sum("copies").over(running), F.lit(0))
     )
+    hit = found.withColumn("_hit", F.explode("_wanted")).where(
+        (F.col("_hit.place") >= F.col("_upto")) & (F.col("_hit.place") < F.col("_upto") + F.col("copies"))
+    )
+    return hit.select(*keys, F.col("_hit.name").alias("name"), F.col(col).alias("value"), "_all")
 
 
 def quantiles_of(
@@ -150,15 +131,13 @@ def quantiles_of(
     spots = {name: (F.col("_all") - 1) * F.lit(float(p)) for name, p in probs.items()}
     places = {f"{n}_lo": F.floor(s) for n, s in spots.items()} | {f"{n}_hi": F.ceil(s) for n, s in spots.items()}
     found = _at_places(counts, keys, col, places)
-    rows = counts.groupBy(*keys).agg(F.sum("copies").alias("_all"))
 
     def pick(name: str) -> Column:
         return F.max(F.when(F.col("name") == name, F.col("value"))).alias(name)
 
-    picked = found.groupBy(*keys).agg(*[pick(name) for name in places])
-    whole = matched(picked, rows, keys)
+    picked = found.groupBy(*keys).agg(F.max("_all").alias("_all"), *[pick(name) for name in places])
     part = {n: s - F.floor(s) for n, s in spots.items()}
-    return whole.select(
+    return picked.select(
         *keys,
         *[
             (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * part[n]).alias(n)
@@ -176,41 +155,11 @@ def exact_quantiles(
 def quartile_band(
     df: DataFrame, col: str, tiebreak: str, labels: Sequence[str] = tuple(QUARTILE_LABELS)
 ) -> DataFrame:
-    """Cut the order of (``col``, ``tiebreak``) into equal quantiles: ``band_ord`` and ``band``.
+    """Cut the rank of ``col`` into equal quantiles: ``band_ord`` and ``band``.
 
-    Only the last row of each band is looked for: its value first, then its tiebreak among the
-    rows of that value. Rows are banded by comparing with these, and are never sorted.
+    Ranks come from :func:`rank_first`, whose stored copy is written while this is built.
     """
-    bins = len(labels)
-    rows = known(df, [col])
-    # 0-based place of the last row of band b: the largest rank r with bins * r <= b * (n - 1).
-    last = {str(b): F.floor(F.lit(b) * (F.col("_all") - 1) / F.lit(bins)) for b in range(1, bins)}
-    edges = _at_places(value_counts(rows, [], col), [], col, last)
-    edges = edges.select(F.col("name").cast("int").alias("_edge"), F.col("value").alias("_edge_value"), "skipped")
-    tied = rows.select(F.col(col).alias("_edge_value"), tiebreak).join(edges, "_edge_value")
-    counted = tied.groupBy("_edge", tiebreak, "_edge_value", "skipped").agg(F.count(F.lit(1)).alias("copies"))
-    placed = counted.select("_edge", "_edge_value", "skipped", tiebreak, "copies")
-    at = _at_tied_places(placed, tiebreak)
-    ends = at.agg(
-        F.sort_array(F.collect_list(F.struct("_edge", F.struct("_edge_value", tiebreak).alias("at")))).alias("ends")
-    ).scalar()
-    here = F.struct(F.col(col).alias("_edge_value"), F.col(tiebreak).alias(tiebreak))
-    above = F.size(F.filter("_ends", lambda e: here > e["at"]))
-    banded = rows.withColumn("_ends", ends).withColumn("band_ord", (above + 1).cast("int"))
-    return banded.withColumn("band", band_label("band_ord", list(labels))).drop("_ends")
-
-
-def _at_tied_places(tied: DataFrame, tiebreak: str) -> DataFrame:
-    """For each edge the tiebreak of the row ``skipped`` places into its value's rows."""
-    number = F.struct(F.lit("at").alias("name"), F.col("skipped").alias("place"))
-    left = tied.withColumn("wanted", F.array(number)).drop("skipped")
-    groups = ["_edge", "_edge_value"]
-    for step in range(_ROUNDS):
-        left = _narrowed(left, groups, tiebreak).withColumnRenamed("_bin", f"_bin{step}")
-        groups.append(f"_bin{step}")
-    running = Window.partitionBy(*groups).orderBy(tiebreak).rowsBetween(Window.unboundedPreceding, -1)
-    found = left.withColumn("_before", F.coalesce(F.sum("copies").over(running), F.lit(0)))
-    place = F.col("wanted")[0]["place"]
-    return found.where((place >= F.col("_before")) & (place < F.col("_before") + F.col("copies"))).select(
-        "_edge", "_edge_value", tiebreak
-    )
+    ranked = rank_first(df, col, tiebreak, "_rank")
+    rows = ranked.agg(F.max("_rank")).scalar()
+    banded = ranked.withColumn("band_ord", quantile_bin("_rank", rows, len(labels)))
+    return banded.withColumn("band", band_label("band_ord", list(labels))).drop("_rank")
