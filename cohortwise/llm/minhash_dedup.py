@@ -3,9 +3,10 @@
 One hash per shingle is split into bins, the smallest of each bin is the
 signature, and empty bins borrow from a bin drawn for them (optimal
 densification), which keeps bins independent also for short texts. Bands of the
-signature are bucket keys. Within a bucket every member is tied to a few hub
-members only, so pair counts grow with the members and not with their square;
-every tie is then confirmed on the whole shingle sets.
+signature are bucket keys. Within a bucket every member is first tied to a few hub
+members only, so a group of copies makes as many pairs as members and not their
+square; every tie is then confirmed on the whole shingle sets. Members of one
+bucket that this leaves in different components meet by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -125,8 +126,26 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(hashes, "set_id binary, shingles array<long>")
 
 
-def _star_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs: in each bucket every member with three hubs.
+def _as_edges(left: str, right: str) -> list:
+    """Columns of one candidate pair: x and y, the smaller and larger set, and their ids a and b."""
+    p, q = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
+    first = p("set_id") < q("set_id")
+    return [
+        F.least(p("set_id"), q("set_id")).alias("x"),
+        F.greatest(p("set_id"), q("set_id")).alias("y"),
+        F.when(first, p("id")).otherwise(q("id")).alias("a"),
+        F.when(first, q("id")).otherwise(p("id")).alias("b"),
+    ]
+
+
+def _fit(left: str, right: str, percent: int):
+    """Sets whose sizes differ too much cannot be similar enough."""
+    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, hubs) of the buckets with two members or more.
 
     The hubs are the member that meets the most others over all its buckets (the
     middle of a group of copies), the one with the smallest id, and one drawn by
@@ -147,17 +166,101 @@ def _star_edges(classes: DataFrame, percent: int) -> DataFrame:
             )
         ).alias("hubs")
     )
+    return crowded, pinned(hubs)
+
+
+def _star_edges(crowded: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs: in each bucket every member with the hubs."""
     ties = crowded.join(hubs, "key").select("m", F.explode("hubs").alias("hub"))
-    # Sets whose sizes differ too much cannot be similar enough.
-    fits = (
-        F.least("m.n", "hub.n") * 100 >= F.greatest("m.n", "hub.n") * percent
-    ) & (F.col("m.set_id") != F.col("hub.set_id"))
-    return ties.where(fits).select(
-        F.least("m.set_id", "hub.set_id").alias("x"),
-        F.greatest("m.set_id", "hub.set_id").alias("y"),
-        F.when(F.col("m.set_id") < F.col("hub.set_id"), F.col("m.id")).otherwise(F.col("hub.id")).alias("a"),
-        F.when(F.col("m.set_id") < F.col("hub.set_id"), F.col("hub.id")).otherwise(F.col("m.id")).alias("b"),
-    ).distinct()
+    fits = _fit("m", "hub", percent) & (F.col("m.set_id") != F.col("hub.set_id"))
+    return ties.where(fits).select(*_as_edges("m", "hub")).distinct()
+
+
+def _apart(crowded: DataFrame, hubs: DataFrame, linked: DataFrame) -> DataFrame:
+    """(id, n, set_id, component): the members of buckets that hold uncompared members of two components."""
+    # Three members, of which two are no hubs, are the least; hubs are compared with all members.
+    free = (
+        crowded.where("size > 2").join(hubs, "key")
+        .where("size > size(hubs) + 1")
+        .where(~F.array_contains(F.col("hubs.set_id"), F.col("m.set_id")))
+        .select("key", "m.*")
+        .join(linked.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
+    )
+    free = pinned(free)
+    torn = free.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    torn = torn.where("low <> high").select("key")
+    return free.join(torn, "key", "left_semi").select("id", "n", "set_id", "component").distinct()
+
+
+def _rare_edges(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs: all members of different components that can be similar enough.
+
+    Of two sets that share ``percent`` hundredths, each holds a common shingle among its rarest ones, as
+    many as it may lack and one more, whatever the order of rarity is. Shingles of one
+    component only come first in this order, as no wanted pair shares them.
+    """
+    tokens = apart.join(sets, "set_id").select(
+        F.struct("id", "n", "set_id", "component").alias("m"), F.explode("shingles").alias("shingle")
+    )
+    spread = tokens.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("holders"),
+        F.min("m.component").alias("low"), F.max("m.component").alias("high"),
+    ).where("low <> high").select("shingle", "holders")
+    common = tokens.join(spread, "shingle").groupBy("m").agg(
+        F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("common")
+    )
+    least = F.ceil(F.col("m.n") * percent / F.lit(100)).cast("int")
+    rarest = F.slice("common", F.lit(1), F.size("common") - least + 1)
+    rare = pinned(
+        common.where(F.size("common") >= least).select("m", F.explode(rarest).alias("r")).select("m", "r.shingle")
+    )
+    # The largest component of a shingle's holders isn't compared with itself, so it makes no square.
+    held = rare.groupBy("shingle", "m.component").agg(F.count(F.lit(1)).alias("k"))
+    held = held.groupBy("shingle").agg(
+        F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components")
+    ).where("components > 1").select("shingle", "main")
+    others = rare.join(held, "shingle").where("m.component <> main").select("shingle", F.col("m").alias("o"))
+    met = others.join(rare, "shingle").where(
+        (F.col("o.component") != F.col("m.component")) & _fit("o", "m", percent)
+    )
+    return met.select(*_as_edges("o", "m")).distinct()
+
+
+def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the candidate pairs whose whole sets are similar enough."""
+    paired = (
+        edges.join(sets.toDF("x", "left"), "x")
+        .join(sets.toDF("y", "right"), "y")
+        .withColumn("common", F.size(F.array_intersect("left", "right")))
+        .withColumn("both", F.size("left") + F.size("right") - F.col("common"))
+    )
+    return paired.where(F.col("common") * 100 >= F.col("both") * percent).select("a", "b")
+
+
+def _linked(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others."""
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return pinned(_sets(texts.join(ids, "id", "left_semi"), words).dropDuplicates(["set_id"]))
+
+    crowded, hubs = _buckets(classes)
+    edges = pinned(_star_edges(crowded, hubs, percent))
+    sets = sets_of(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
+    linked = components(_confirmed(edges, sets, percent))
+    apart = pinned(_apart(crowded, hubs, linked))
+    if apart.isEmpty():
+        return linked
+    sets = sets_of(apart.select("id").distinct())
+    links = _confirmed(pinned(_rare_edges(apart, sets, percent)), sets, percent)
+    # A component is named by its smallest node, so joined components are named by the smallest of their names.
+    name = linked.toDF("id", "name")
+    for end in ("a", "b"):
+        links = links.join(name, F.col(end) == F.col("id"), "left").withColumn(end, F.coalesce("name", end)).select("a", "b")
+    joined = components(links).toDF("component", "larger")
+    every = linked.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()
+    # A joined node that had no link before names itself; one that had is in both lists with the same name.
+    return every.join(joined, "component", "left").select("node", F.coalesce("larger", "component").alias("component"))
 
 
 def near_duplicates(
@@ -176,7 +279,8 @@ def near_duplicates(
     words link with nothing. Rows with equal sets form one class and enter the
     search once. A row without an id is linked with nothing, has no component and
     is kept. Rows that share an id but not their text are judged by their text.
-    With 32 bands of 5 bins a pair at 0.8 shares no bucket with probability 3e-6.
+    With 32 bands of 5 bins a pair at 0.8 shares no bucket with probability 3e-6; a pair that shares one
+    is compared, unless other links tie it already.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = pinned(_sketches(texts, words, bins, rows))
@@ -186,17 +290,7 @@ def near_duplicates(
         .agg(F.min(F.struct("id", F.col("n_shingles").alias("n"), "bands")).alias("c"))
         .select("set_id", "c.*")
     )
-    edges = pinned(_star_edges(classes, percent))
-    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    sets = pinned(_sets(texts.join(ends, "id", "left_semi"), words).dropDuplicates(["set_id"]))
-    paired = (
-        edges.join(sets.toDF("x", "left"), "x")
-        .join(sets.toDF("y", "right"), "y")
-        .withColumn("common", F.size(F.array_intersect("left", "right")))
-        .withColumn("both", F.size("left") + F.size("right") - F.col("common"))
-    )
-    links = paired.where(F.col("common") * 100 >= F.col("both") * percent).select("a", "b")
-    linked = components(links)
+    linked = _linked(texts, classes, words, percent)
     groups = classes.select("set_id", F.col("id").alias("node")).join(linked, "node", "left")
     groups = groups.select("set_id", F.coalesce("component", "node").alias("class_id"))
     found = F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("class_id"))

@@ -52,6 +52,26 @@ def test_a_middle_text_links_copies_that_are_far_from_each_other(docs_of):
     assert as_dict(near_duplicates(docs_of(rows), words=4)) == brute(rows, 4, 80)
 
 
+def family(seed, size, pairs):
+    """Texts on one template, similar by 0.7, some of them with a copy similar by 0.83."""
+    draw = random.Random(seed)
+    template, rows = [f"t{i}" for i in range(100)], []
+    for i in range(size):
+        own = [f"o{i}x{k}" for k in range(20)]
+        rows.append(template + own)
+        if i < pairs:
+            rows.append(template + own[:9] + [f"c{i}x{k}" for k in range(11)])
+    draw.shuffle(rows)
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_copies_inside_a_family_are_found(docs_of):
+    rows = family(1, 400, 40)
+    want = brute(rows, 4, 80)
+    assert sum(i != c for i, (_, c) in want.items()) == 40
+    assert as_dict(near_duplicates(docs_of(rows), words=4)) == want
+
+
 def test_null_ids_repeated_rows_and_clashing_names(docs_of):
     rows = [(1, "a b c d e")] * 3 + [(None, "a b c d e"), (None, None), (0, "a b c d e")]
     got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_duplicates(docs_of(rows)).collect())
