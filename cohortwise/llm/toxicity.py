@@ -103,17 +103,21 @@ class Lexicon:
         return 1.0 / (1.0 + np.exp(-(a + b * features[:, 0] + c * features[:, 1])))
 
 
-def fit_curve(features: np.ndarray, label: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[float, ...]:
-    """Logistic regression by Newton's method on standardised features."""
+def fit_curve(
+    features: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, steps: int = 50, ridge: float = 1e-3
+) -> tuple[float, ...]:
+    """Logistic regression by Newton's method on standardised features; rows count by weight, all alike by default."""
     if not len(label):
         return 0.0, 0.0, 0.0
-    mean, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
+    weight = np.ones(len(label)) if weight is None else weight / weight.mean()
+    mean = np.average(features, axis=0, weights=weight)
+    spread = np.sqrt(np.average((features - mean) ** 2, axis=0, weights=weight)) + 1e-9
     x = np.column_stack([np.ones(len(label)), (features - mean) / spread])
     w = np.zeros(3)
     for _ in range(steps):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - label) + ridge * w
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3)
+        slope = x.T @ (weight * (p - label)) + ridge * w
+        curvature = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(3)
         step = np.linalg.solve(curvature, slope)
         w -= step
         if np.abs(step).max() < 1e-9:
@@ -179,7 +183,8 @@ def learn(
     At most ``train_rows`` documents of each label are used, those with the smallest hash
     of their id among the labels for which ``train`` holds; this bounds what is broadcast and what
     reaches the driver. Half of them give the entries (``least_documents`` toxic ones at least, the
-    ``most_entries`` most frequent ones at most), the other half the curve. Labels other than 0 and 1, null ids
+    ``most_entries`` most frequent ones at most), the other half the curve, in which a row weighs as many usable
+    labels as it stands for, so that scores keep the balance of all labels, however many are cut. Labels other than 0 and 1, null ids
     and ids with both labels are not used. Without labels all scores are one half.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -187,6 +192,8 @@ def learn(
     one = usable.groupBy(F.col(id_col).alias("id")).agg(
         F.min(label_col).alias("label"), F.max(label_col).alias("other")
     ).where("label = other").withColumn("draw", F.xxhash64("id"))
+    # A group per label, so two rows at most.
+    usable_of = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
     taken = [one.where(F.col("label") == x).orderBy("draw", "id").limit(train_rows) for x in (0, 1)]
     sample = taken[0].unionByName(taken[1]).select("id", "label", (F.pmod("draw", F.lit(2)) == 0).alias("entry_half"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -204,7 +211,9 @@ def learn(
     rows = _features(labelled.where(~F.col("entry_half")).select("text", "label"), lexicon, "label int").collect()
     labelled.unpersist()
     found = np.array([[r["per_word"], r["weight"]] for r in rows]).reshape(-1, 2)
-    curve = fit_curve(found, np.array([r["label"] for r in rows], float))
+    stands_for = {x: n / min(n, train_rows) for x, n in usable_of.items()}
+    weight = np.array([stands_for[r["label"]] for r in rows], float)
+    curve = fit_curve(found, np.array([r["label"] for r in rows], float), weight)
     return Lexicon(weights, exceptions, curve)
 
 

@@ -142,6 +142,23 @@ def test_held_out_accuracy(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if r["score"] < 0.3}
 
 
+@pytest.mark.parametrize("train_rows", [200, 8000])
+def test_scores_keep_the_balance_when_one_label_is_cut(spark, train_rows):
+    draw = random.Random(4)
+    fine = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(2000):
+        words, toxic = draw.choices(fine, k=20), i % 10 == 0
+        if toxic or draw.random() < 0.1:
+            words[7] = "grobian"
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), train_rows=train_rows)
+    scores = [r["score"] for r in toxicity.score_toxicity(docs, lexicon).collect()]
+    assert abs(np.mean(scores) - 0.1) < 0.03
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = labelled(spark, 300)
     flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
