@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from cohortwise.llm import (
     chaining,
+    divergence,
     embedding_dedup,
     license_scan,
+    merkle,
     minhash_dedup,
     mixing,
     packing,
     suffix_dedup,
+    token_packing,
     topk_search,
     toxicity,
     url_cascade,
@@ -101,10 +104,42 @@ def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.top_by_product(vectors, F.col("vec_id") % 20 == 0, k=20, factor=64)
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    # As a decimal, so that one more than the largest long is a number too.
+    more = fields | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    leaf = merkle.leaf_of(*fields.values())
+    leaves = _table(spark, folder, "documents").select(
+        "doc_id", "lang", leaf.alias("leaf"), F.when(tampered, merkle.leaf_of(*more.values())).alias("forged")
+    )
+    proven = merkle.manifest(leaves, "lang", ["doc_id"])
+    found = proven.withColumn("folded_root", merkle.folded(F.coalesce("forged", "leaf"), F.col("path")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_of(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, folder, "documents")
+    packed = token_packing.pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024)
+    return token_packing.pieces_of(packed).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergences(_table(spark, folder, "documents"), top=200, least_docs=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_minhash_dedup, op2_best_fit_packing, op3_source_mixing, op4_url_cascade, op5_suffix_dedup,
         op6_collinear_chaining, op7_license_scan, op8_toxicity, op9_embedding_dedup, op10_topk_search,
+        op11_merkle_manifest, op12_token_packing, op13_source_divergence,
     )
     return {f.__name__: f for f in every}
 
@@ -184,6 +219,104 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 
+# One step of CRC-32 for each bit of each byte of the id's digits.
+_CRC32 = """
+list_reduce(list_transform(range(1, length({digits}) + 1), lambda i: ascii(substr({digits}, i, 1))::BIGINT),
+  lambda crc, byte: list_reduce(range(0, 8),
+    lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), 4294967295)
+"""
+
+_OP11 = """
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, * FROM documents
+), told AS (
+  SELECT r, doc_id, lang, {whole} AS leaf, {forged} AS forged, tampered FROM (
+    SELECT *, coalesce(xor({crc}, 4294967295) % 7 = 0, false) AS tampered FROM docs)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM told
+), low(lang, level, pos, node, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM leaves
+  UNION ALL
+  SELECT lang, any_value(level) + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 1) // 2)
+  FROM low WHERE n > 1 GROUP BY lang, pos // 2
+), subroots AS (
+  SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM low WHERE n = 1
+), high(level, pos, node, n) AS (
+  SELECT 0, pos, node, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 1) // 2)
+  FROM high WHERE n > 1 GROUP BY pos // 2
+), climb(r, lang, high, level, pos, n, folded, proof) AS (
+  SELECT r, lang, false, 0, pos, count(*) OVER (PARTITION BY lang),
+    CASE WHEN tampered THEN forged ELSE leaf END, '' FROM leaves
+  UNION ALL
+  SELECT c.r, c.lang, c.high OR c.n = 1, CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+    CASE WHEN c.n = 1 THEN s.pos ELSE c.pos // 2 END,
+    CASE WHEN c.n = 1 THEN (SELECT count(*) FROM subroots) ELSE (c.n + 1) // 2 END,
+    CASE WHEN c.n = 1 THEN folded WHEN c.pos % 2 = 1 THEN sha256(b.node || folded)
+      ELSE sha256(folded || coalesce(b.node, '')) END,
+    proof || CASE WHEN c.n = 1 THEN '' ELSE coalesce(b.node, '') END
+  FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang
+  LEFT JOIN (SELECT false AS high, lang, level, pos, node FROM low UNION ALL SELECT true, NULL, level, pos, node FROM high) b
+    ON b.high = c.high AND (c.high OR b.lang IS NOT DISTINCT FROM c.lang)
+    AND b.level = c.level AND b.pos = c.pos + 1 - 2 * (c.pos % 2)
+  WHERE NOT (c.high AND c.n = 1)
+)
+SELECT doc_id, leaf, s.node AS subroot, h.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+  folded = h.node AS verified
+FROM leaves JOIN climb c USING (r) JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaves.lang
+JOIN high h ON h.n = 1 WHERE c.high AND c.n = 1
+"""
+
+
+def _merkle_sql() -> str:
+    def leaf(*fields: str) -> str:
+        parts = [f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields]
+        return f"sha256({' || '.join(parts)})"
+
+    crc = _CRC32.format(digits="doc_id::VARCHAR").strip()
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    forged = ["(n_chars::HUGEINT + 1)" if f == "n_chars" else f for f in fields]
+    return _OP11.format(crc=crc, whole=leaf(*fields), forged=leaf(*forged))
+
+
+_OP13 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), words AS (SELECT r, lang, source, unnest(ws) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(any_value(s.v), 0) AS v, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counted c USING (lang, source)
+  LEFT JOIN sizes s USING (lang) GROUP BY g.lang, g.source
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v)::HUGEINT AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), wholes AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))::HUGEINT AS q
+  FROM cells GROUP BY lang, term
+), pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+  FROM cells x JOIN cells y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), found AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs p ON p.lang = x.lang AND p.source = x.source AND p.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT
+  FROM cells JOIN wholes USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def _mixing_sql(cell_units: int = 1000, fills: int = 3, least: float = 0.001) -> str:
     weights = ", ".join(f"{w}.0" for w in SOURCE_WEIGHTS)
     steps, last = [], "edge0"
@@ -272,4 +405,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_cascade": _OP4,
         "op9_embedding_dedup": _OP9,
         "op10_topk_search": _OP10,
+        "op11_merkle_manifest": _merkle_sql(),
+        "op13_source_divergence": _OP13,
     }

@@ -21,12 +21,13 @@ def test_matches_sql(spark, con, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 14))
     assert set(entry_module.queries()) >= {*llm.queries(), "pipeline"}
 
 
 @pytest.mark.parametrize("name", ["op1_minhash_dedup", "op3_source_mixing", "op4_url_cascade",
-                                  "op5_suffix_dedup", "op7_license_scan", "op8_toxicity", "op9_embedding_dedup"])
+                                  "op5_suffix_dedup", "op7_license_scan", "op8_toxicity", "op9_embedding_dedup",
+                                  "op11_merkle_manifest"])
 def test_one_row_per_row(spark, name):
     table = TABLES.get(name.split("_")[0], "documents")
     rows = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
