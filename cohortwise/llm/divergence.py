@@ -10,11 +10,11 @@ their language, and partial sums of pairs and the best terms come out.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,30 +39,103 @@ _STRIPE_ARROW = pa.schema(
 )
 
 
-def term_counts(text: bytes) -> Counter:
-    """Occurrences of each term: runs of ASCII letters, lower-cased, and bytes beyond ASCII."""
-    folded, counts, start = text.translate(_FOLD), Counter(), 0
-    while start < len(folded):
-        end = folded.find(b" ", start + _TEXT_BYTES)
-        end = len(folded) if end < 0 else end
-        counts.update(folded[start:end].split())
-        start = end
-    return counts
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
 
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
 
-def _rows(stripes: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    """Batches of (lang, term, [docs, {source: count}])."""
-    for some in itertools.batched(stripes, _OUT_ROWS):
-        yield _batch(some)
 
+def term_counts(text: bytes, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of a text, as numbers, and how often each occurs.
 
-def _batch(held: tuple[tuple, ...]) -> pa.RecordBatch:
-    langs, terms, folds = zip(*held, strict=True)
+    Terms are runs of ASCII letters, lower-cased, and bytes beyond ASCII.
+    """
+    folded, start = text.translate(_FOLD), 0
+    ids, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    while start < len(folded):
+        end = folded.find(b" ", start + _TEXT_BYTES)
+        end = len(folded) if end < 0 else end
+        words = folded[start:end].split()
+        found = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        more = np.unique(found, return_counts=True)
+        ids, counts = _summed(np.concatenate([ids, more[0]]), np.concatenate([counts, more[1]])) if start else more
+        start = end
+    return ids, counts
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[starts], *(np.add.reduceat(v[order], starts) if len(starts) else v for v in values)
+
+
+class _Table:
+    """Stripes of one partition: sums per group of documents and term."""
+
+    def __init__(self, max_cells: int) -> None:
+        self.max_cells = max_cells
+        self.clear()
+
+    def clear(self) -> None:
+        self.terms, self.groups = _Numbers(), _Numbers()
+        self.keys, self.docs, self.counts = [], [], []
+        self.held = 0
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        group = self.groups[lang, source] << 32
+        ids, counts = term_counts(text, self.terms)
+        self.keys += [group | ids, np.array([group | self.terms[_DOCUMENTS]])]
+        self.counts += [counts, np.ones(1, np.int64)]
+        self.docs += [np.ones(len(ids) + 1, np.int64)]
+        self.held += len(ids) + 1
+
+    def full(self) -> bool:
+        """Whether the sums, brought together, are too many."""
+        if self.held <= 2 * self.max_cells:
+            return False
+        self._fold()
+        return self.held > self.max_cells
+
+    def _fold(self) -> None:
+        keys, docs, counts = _summed(*(np.concatenate(x) for x in (self.keys, self.docs, self.counts)))
+        self.keys, self.docs, self.counts, self.held = [keys], [docs], [counts], len(keys)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The stripes, one row per language and term."""
+        if not self.held:
+            return
+        self._fold()
+        (keys,), (docs,), (counts,) = self.keys, self.docs, self.counts
+        langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
+        lang_of = langs.dictionary_encode()
+        group, term = keys >> 32, keys & 0xFFFFFFFF
+        stripe = (lang_of.indices.to_numpy().astype(np.int64)[group] << 32) | term
+        order = np.argsort(stripe, kind="stable")
+        starts = np.flatnonzero(np.diff(stripe[order], prepend=-1))
+        docs = np.add.reduceat(docs[order], starts)
+        ends = np.append(starts[1:], len(order))
+        names = pa.array(list(self.terms), pa.binary())
+        for low in range(0, len(starts), _OUT_ROWS):
+            some = slice(low, low + _OUT_ROWS)
+            first = order[starts[some]]
+            cells = order[starts[some][0] : ends[some][-1]]
+            yield _stripes(
+                langs.take(pa.array(group[first])), names.take(pa.array(term[first])), docs[some],
+                np.append(starts[some], ends[some][-1]) - starts[some][0],
+                sources.take(pa.array(group[cells])), counts[cells],
+            )
+
+
+def _stripes(langs, terms, docs, offsets, sources, counts) -> pa.RecordBatch:
+    offsets = pa.array(offsets, pa.int32())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(langs, pa.string()), pa.array(terms, pa.binary()), pa.array([f[0] for f in folds], pa.int64()),
-            pa.array([list(f[1]) for f in folds], pa.list_(pa.string())),
-            pa.array([list(f[1].values()) for f in folds], pa.list_(pa.int64())),
+            langs, terms, pa.array(docs, pa.int64()), pa.ListArray.from_arrays(offsets, sources),
+            pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
         ],
         schema=_STRIPE_ARROW,
     )
@@ -72,61 +145,66 @@ def _folded(docs: DataFrame, max_cells: int) -> DataFrame:
     """Stripes of each partition of (lang, source, text as bytes)."""
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[str, dict[bytes, list]] = {}
-        cells = 0
-
-        def handed_out():
-            for lang, stripes in table.items():
-                for term, stripe in stripes.items():
-                    yield lang, term, stripe
-
+        table = _Table(max_cells)
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for row, (lang, source) in enumerate(zip(langs, sources, strict=True)):
-                counts = term_counts(batch.column(2)[row].as_py())
-                counts[_DOCUMENTS] = 1
-                stripes = table.setdefault(lang, {})
-                for term, count in counts.items():
-                    stripe = stripes.get(term)
-                    if stripe is None:
-                        stripes[term] = [1, {source: count}]
-                        cells += 1
-                        continue
-                    stripe[0] += 1
-                    if source in stripe[1]:
-                        stripe[1][source] += count
-                    else:
-                        stripe[1][source] = count
-                        cells += 1
-                if cells > max_cells:
-                    yield from _rows(handed_out())
-                    table, cells = {}, 0
-        yield from _rows(handed_out())
+                table.add(lang, source, batch.column(2)[row].as_py())
+                if table.full():
+                    yield from table.batches()
+                    table.clear()
+        yield from table.batches()
 
     return docs.mapInArrow(fold, _STRIPE)
 
 
+def _united(rows: pa.RecordBatch, least_docs: int, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    """Stripes of rows sorted by key, and the last key's stripe apart, unless these are the ``last`` rows."""
+    langs, terms = rows.column(0), rows.column(1)
+    n = rows.num_rows
+    new = np.ones(n, bool)
+    new[1:] = pc.or_(
+        pc.not_equal(langs.slice(1), langs.slice(0, n - 1)), pc.not_equal(terms.slice(1), terms.slice(0, n - 1))
+    ).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new)
+    docs = np.add.reduceat(rows.column(2).to_numpy(), starts)
+    kept = docs >= least_docs
+    kept |= pc.equal(terms.take(pa.array(starts)), _DOCUMENTS).to_numpy(zero_copy_only=False)
+    kept[-1] |= not last
+    of = np.cumsum(new) - 1
+    cell_of = np.repeat(of, pc.list_value_length(rows.column(3)).to_numpy(zero_copy_only=False))
+    names = rows.column(3).flatten().dictionary_encode()
+    wanted = kept[cell_of]
+    codes = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[wanted]
+    keys = cell_of[wanted] * max(1, len(names.dictionary)) + codes
+    keys, counts = _summed(keys, rows.column(4).flatten().to_numpy()[wanted])
+    stripe, codes = np.divmod(keys, max(1, len(names.dictionary)))
+    ids = np.flatnonzero(kept)
+    first = pa.array(starts[ids])
+    out = _stripes(
+        langs.take(first), terms.take(first), docs[ids], np.append(np.searchsorted(stripe, ids), len(stripe)),
+        names.dictionary.take(pa.array(codes)), counts,
+    )
+    return (out, None) if last else (out.slice(0, len(ids) - 1), out.slice(len(ids) - 1))
+
+
 def _merged(partial: DataFrame, least_docs: int) -> DataFrame:
     """One stripe per language and term with ``least_docs`` documents or more; rows are sorted by key."""
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stripes():
-            key, stripe = None, [0, {}]
-            for batch in batches:
-                columns = [batch.column(i) for i in range(5)]
-                for i in range(batch.num_rows):
-                    lang, term, docs, sources, counts = (c[i].as_py() for c in columns)
-                    if (lang, term) != key:
-                        if key is not None:
-                            yield *key, stripe
-                        key, stripe = (lang, term), [0, {}]
-                    stripe[0] += docs
-                    for source, count in zip(sources, counts, strict=True):
-                        stripe[1][source] = stripe[1].get(source, 0) + count
-            if key is not None:
-                yield *key, stripe
-
-        yield from _rows(s for s in stripes() if s[2][0] >= least_docs or s[1] == _DOCUMENTS)
+        open_ = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.RecordBatch.from_arrays(
+                [c.cast(t) for c, t in zip(batch.columns, _STRIPE_ARROW.types, strict=True)], schema=_STRIPE_ARROW
+            )
+            if open_ is not None:
+                rows = pa.Table.from_batches([open_, rows]).combine_chunks().to_batches()[0]
+            done, open_ = _united(rows, least_docs, last=False)
+            yield done
+        if open_ is not None:
+            yield _united(open_, least_docs, last=True)[0]
 
     dealt = partial.repartition("lang", "term").sortWithinPartitions("lang", "term")
     return dealt.mapInArrow(merge, _STRIPE)

@@ -12,6 +12,8 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,13 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from cohortwise.session import pinned, shared_path
 
 # Before a single space between two other characters every match of the byte-level pattern ends, so texts
-# can be cut there and the parts, most of them words seen before, be looked up.
-_CUT = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
-_REMEMBERED = 1 << 18
+# can be cut there and the parts, most of them seen before, be looked up.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+_UNEVEN = re.compile(r"^\s|\s\s|\s$")
+# Fixed value: the pattern of byte-level pre-tokenization. It is applied here to parts of long known letters only,
+# others go through the tokenizer's own.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PLAIN = re.compile("[\t\n -~\u00a1-\u024f]*")
+_REMEMBERED = 1 << 19
 _LONGEST_REMEMBERED = 64
 _BATCH_BYTES = 8 << 20
 _PARTS_BROADCAST = 100_000
@@ -42,12 +50,12 @@ class Encoder:
 
     def __init__(self, vocabulary: str, width: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        self._tokenizer = Tokenizer.from_str(vocabulary)
-        self._tokenizer.encode_special_tokens = True
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
-        self._type = np.dtype(f"<u{width}")
-        self._seen: dict[str, bytes] = {}
+        self._whole = self._opened(vocabulary)
+        self._bare = self._opened(vocabulary)
+        self._bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._code = "H" if width == 2 else "I"
+        self._parts: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
         told = json.loads(vocabulary)
         before = told.get("pre_tokenizer") or {}
         self._by_parts = (
@@ -56,22 +64,49 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") for t in told.get("added_tokens") or [])
         )
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self._type).tobytes() for e in found]
+    @staticmethod
+    def _opened(vocabulary: str) -> Tokenizer:
+        tokenizer = Tokenizer.from_str(vocabulary)
+        tokenizer.encode_special_tokens = True
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    def _ids(self, tokenizer: Tokenizer, texts: list[str]) -> dict[str, bytes]:
+        found = (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return {t: struct.pack(f"<{len(i)}{self._code}", *i) for t, i in zip(texts, found, strict=True)}
+
+    @staticmethod
+    def _remember(known: dict[str, bytes], new: dict[str, bytes]) -> None:
+        if len(known) + len(new) > _REMEMBERED:
+            known.clear()
+        known.update((t, ids) for t, ids in new.items() if len(t) <= _LONGEST_REMEMBERED)
+
+    def _new_parts(self, parts: set[str]) -> dict[str, bytes]:
+        plain = {p: _PATTERN.findall(p) for p in parts if _PLAIN.fullmatch(p)}
+        found = self._ids(self._whole, [p for p in parts if p not in plain])
+        new = self._ids(self._bare, list({w for words in plain.values() for w in words if w not in self._words}))
+        known = self._words
+        for part, words in plain.items():
+            found[part] = b"".join([new[w] if w in new else known[w] for w in words])
+        self._remember(known, new)
+        return found
 
     def encode(self, text: str) -> bytes:
         if not self._by_parts:
-            return self._ids([text])[0]
-        parts, seen = _CUT.split(text), self._seen
-        new = list({p for p in parts if p not in seen})
+            return self._ids(self._whole, [text])[text]
+        if _UNEVEN.search(text):
+            parts = _CUT.split(text)
+        else:
+            first, *rest = text.split(" ")
+            parts = [first, *[" " + word for word in rest]]
+        known = self._parts
+        new = {p for p in parts if p not in known}
         if not new:
-            return b"".join(map(seen.__getitem__, parts))
-        fresh = dict(zip(new, self._ids(new), strict=True))
-        out = b"".join([seen[p] if p in seen else fresh[p] for p in parts])
-        if len(seen) + len(new) > _REMEMBERED:
-            seen.clear()
-        seen.update((p, ids) for p, ids in fresh.items() if len(p) <= _LONGEST_REMEMBERED)
+            return b"".join(map(known.__getitem__, parts))
+        fresh = self._new_parts(new)
+        out = b"".join([fresh[p] if p in fresh else known[p] for p in parts])
+        self._remember(known, fresh)
         return out
 
 

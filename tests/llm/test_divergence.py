@@ -77,4 +77,9 @@ def test_long_division_is_exact():
 
 def test_long_texts_are_folded_in_pieces(monkeypatch):
     monkeypatch.setattr(divergence, "_TEXT_BYTES", 3)
-    assert divergence.term_counts(b"aa bbbbbb Aa c1c \xc3\xa9") == {b"aa": 2, b"bbbbbb": 1, b"c": 2, b"\xc3\xa9": 1}
+    numbers = divergence._Numbers()
+    ids, counts = divergence.term_counts(b"aa bbbbbb Aa c1c \xc3\xa9", numbers)
+    names = list(numbers)
+    found = {names[i]: n for i, n in zip(ids.tolist(), counts.tolist(), strict=True)}
+    assert found == {b"aa": 2, b"bbbbbb": 1, b"c": 2, b"\xc3\xa9": 1}
+    assert len(divergence.term_counts(b"", numbers)[0]) == 0 == len(divergence.term_counts(b"1 2", numbers)[0])
