@@ -18,7 +18,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,16 +26,18 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from cohortwise.session import pinned, shared_path
 
-# Before a single space between two other characters every match of the byte-level pattern ends, so texts
-# can be cut there and the parts, most of them seen before, be looked up.
+# Fixed value: the pattern of byte-level pre-tokenization, for texts of ASCII and Latin letters, where classes
+# of letters and numbers are small enough to be listed.
+_LETTERS, _NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_WORDS = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+)
+_LATIN = re.compile("[\t\n -~\u00a1-\u024f]*")
+# Before a single space between two other characters every match of that pattern ends, so other texts can be cut there.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_UNEVEN = re.compile(r"^\s|\s\s|\s$")
-# Fixed value: the pattern of byte-level pre-tokenization. It is applied here to parts of long known letters only,
-# others go through the tokenizer's own.
-_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_PLAIN = re.compile("[\t\n -~\u00a1-\u024f]*")
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 20
 _LONGEST_REMEMBERED = 64
+_TEXT_CHARS = 1 << 20
 _BATCH_BYTES = 8 << 20
 _PARTS_BROADCAST = 100_000
 
@@ -45,7 +46,8 @@ class Encoder:
     """Token ids of whole texts as little-endian bytes, ``width`` bytes an id.
 
     The strings of special tokens are ordinary text. With byte-level pre-tokenization and nothing before
-    it, parts between single spaces are encoded one by one and remembered; others are encoded whole.
+    it, texts are cut where it cuts them too and the words, most of them seen before, are looked up; with
+    other tokenizers texts are encoded whole.
     """
 
     def __init__(self, vocabulary: str, width: int) -> None:
@@ -54,8 +56,8 @@ class Encoder:
         self._bare = self._opened(vocabulary)
         self._bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self._code = "H" if width == 2 else "I"
-        self._parts: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
         told = json.loads(vocabulary)
         before = told.get("pre_tokenizer") or {}
         self._by_parts = (
@@ -72,42 +74,35 @@ class Encoder:
         tokenizer.no_padding()
         return tokenizer
 
-    def _ids(self, tokenizer: Tokenizer, texts: list[str]) -> dict[str, bytes]:
+    def _ids(self, tokenizer: Tokenizer, texts: Iterable[str]) -> dict[str, bytes]:
+        texts = list(texts)
         found = (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return {t: struct.pack(f"<{len(i)}{self._code}", *i) for t, i in zip(texts, found, strict=True)}
 
-    @staticmethod
-    def _remember(known: dict[str, bytes], new: dict[str, bytes]) -> None:
+    def _joined(self, cut: list[list[str]], known: dict[str, bytes], tokenizer: Tokenizer) -> list[bytes]:
+        """The ids of texts given as words; ``known`` keeps the ids of words up to a number of them."""
+        met = set().union(*cut)
+        new = met.difference(known)
         if len(known) + len(new) > _REMEMBERED:
             known.clear()
-        known.update((t, ids) for t, ids in new.items() if len(t) <= _LONGEST_REMEMBERED)
-
-    def _new_parts(self, parts: set[str]) -> dict[str, bytes]:
-        plain = {p: _PATTERN.findall(p) for p in parts if _PLAIN.fullmatch(p)}
-        found = self._ids(self._whole, [p for p in parts if p not in plain])
-        new = self._ids(self._bare, list({w for words in plain.values() for w in words if w not in self._words}))
-        known = self._words
-        for part, words in plain.items():
-            found[part] = b"".join([new[w] if w in new else known[w] for w in words])
-        self._remember(known, new)
-        return found
-
-    def encode(self, text: str) -> bytes:
+            new = met
+        known.update(self._ids(tokenizer, new))
+        joined = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for word in new:
+            if len(word) > _LONGEST_REMEMBERED:
+                del known[word]
+        return joined
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self._by_parts:
-            return self._ids(self._whole, [text])[text]
-        if _UNEVEN.search(text):
-            parts = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + word for word in rest]]
-        known = self._parts
-        new = {p for p in parts if p not in known}
-        if not new:
-            return b"".join(map(known.__getitem__, parts))
-        fresh = self._new_parts(new)
-        out = b"".join([fresh[p] if p in fresh else known[p] for p in parts])
-        self._remember(known, fresh)
-        return out
+            whole = self._ids(self._whole, set(texts))
+            return [whole[t] for t in texts]
+        latin = [_LATIN.fullmatch(t) is not None for t in texts]
+        words = [_WORDS.findall(t) for t, plain in zip(texts, latin, strict=True) if plain]
+        parts = [_CUT.split(t) for t, plain in zip(texts, latin, strict=True) if not plain]
+        words = iter(self._joined(words, self._words, self._bare))
+        parts = iter(self._joined(parts, self._parts, self._whole))
+        return [next(words) if plain else next(parts) for plain in latin]
 
 
 @functools.lru_cache(maxsize=1)
@@ -140,25 +135,25 @@ def tokenized(
         for batch in batches:
             start = 0
             while start < batch.num_rows:
-                ids, places, held, row = [], [], 0, start
-                while row < batch.num_rows and held < _BATCH_BYTES:
-                    ids.append(encoder.encode(batch.column(1)[row].as_py() or "") + end)
-                    places.append(at)
-                    at += len(ids[-1]) // width
-                    held += len(ids[-1])
-                    row += 1
+                texts, held = [], 0
+                while start + len(texts) < batch.num_rows and held < _TEXT_CHARS:
+                    texts.append(batch.column(1)[start + len(texts)].as_py() or "")
+                    held += len(texts[-1])
+                ids = [x + end for x in encoder.encode(texts)]
+                sizes = np.array([len(x) // width for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(start, row - start),
+                        batch.column(0).slice(start, len(ids)),
                         pa.array([part] * len(ids), pa.int32()),
-                        pa.array(places, pa.int64()),
-                        pa.array([len(x) // width for x in ids], pa.int64()),
+                        pa.array(at + np.cumsum(sizes) - sizes),
+                        pa.array(sizes),
                         pa.array([width] * len(ids), pa.int32()),
                         pa.array(ids, pa.binary()),
                     ],
                     ["id", "part", "at", "n", "width", "ids"],
                 )
-                start = row
+                at += int(sizes.sum())
+                start += len(ids)
 
     path = shared_path(spark, "tokens")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))

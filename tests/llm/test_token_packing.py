@@ -22,12 +22,24 @@ def whole():
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def test_parts_give_the_ids_of_whole_texts(whole):
+def test_parts_give_the_ids_of_whole_texts(whole, monkeypatch):
     with open(VOCABULARY, encoding="utf-8") as file:
         encoder = token_packing.Encoder(file.read(), 2)
     assert encoder._by_parts
-    for text in [*TEXTS, *reversed(TEXTS)]:
-        assert np.frombuffer(encoder.encode(text or ""), "<u2").tolist() == whole(text)
+    texts = [t or "" for t in [*TEXTS, *reversed(TEXTS)]]
+    monkeypatch.setattr(token_packing, "_REMEMBERED", 20)
+    for found in (encoder.encode(texts), [encoder.encode([t])[0] for t in texts]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in found] == [whole(t) for t in texts]
+
+
+def test_latin_words_are_those_of_the_pattern():
+    """Every character and pair of unlike ones, against the tokenizer's own cutting."""
+    own = Tokenizer.from_file(VOCABULARY).pre_tokenizer
+    chars = [c for c in map(chr, range(0x250)) if token_packing._LATIN.fullmatch(c)]
+    text = "".join(f"a{c}1{c} {c}!{c}\n" for c in chars) + " ''s't're'vex  \n  y\t z"
+    assert token_packing._LATIN.fullmatch(text)
+    spans = [span for _, span in own.pre_tokenize_str(text)]
+    assert token_packing._WORDS.findall(text) == [text[a:b] for a, b in spans]
 
 
 @pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json"])
@@ -39,7 +51,7 @@ def test_other_tokenizers_encode_whole_texts(vocabulary):
     tokenizer.encode_special_tokens = True
     assert not encoder._by_parts
     for text in TEXTS:
-        got = np.frombuffer(encoder.encode(text or ""), "<u2").tolist()
+        got = np.frombuffer(encoder.encode([text or ""])[0], "<u2").tolist()
         assert got == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -48,6 +60,7 @@ def test_every_token_lies_in_one_piece(spark, whole, monkeypatch, length, parts)
     rows = [(i % 15, t, "n", 5) for i, t in enumerate(TEXTS)]  # two ids occur twice
     docs = spark.createDataFrame(rows, "doc_id long, text string, part string, width int").repartition(parts)
     monkeypatch.setattr(token_packing, "_BATCH_BYTES", 4000)
+    monkeypatch.setattr(token_packing, "_TEXT_CHARS", 40)
     packed = token_packing.pack_tokens(docs, VOCABULARY, length, end_id=0)
     sequences = sorted(packed.collect())
     assert [s["sequence_id"] for s in sequences] == list(range(len(sequences)))
