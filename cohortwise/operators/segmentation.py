@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.operators.features import FEATURES
+from cohortwise.operators.kmeans import assigned, best_kmeans
 from cohortwise.operators.ordering import exact_quantiles
 from cohortwise.operators.scaling import zscore
 from cohortwise.session import pinned
@@ -24,66 +20,24 @@ STRUGGLING = "⚡ Engaged but Struggling"
 AVERAGE = "📈 Average / Improving"
 
 
-def best_kmeans(
-    points: DataFrame,
-    k: int = 4,
-    seed: int = 42,
-    n_init: int = 10,
-    parallelism: int = 10,
-    max_iter: int = 300,
-) -> KMeansModel:
-    """The cheapest of ``n_init`` fits on the ``features`` vector column.
-
-    The fits are independent Spark jobs, ``parallelism`` of them at a time, so
-    that short iterations of one fill the gaps left by another. A fit ends when its
-    centres stand still; ``max_iter`` only guards against one that never does, and a
-    warning is given if the chosen fit ran into it.
-    """
-    spark = points.sparkSession
-
-    def fit(number: int) -> KMeansModel:
-        means = KMeans(k=k, seed=seed + number, maxIter=max_iter, featuresCol="features")
-        return means.fit(points)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(inheritable_thread_target(spark)(fit), range(n_init)))
-    best = min(models, key=lambda model: model.summary.trainingCost)
-    if best.summary.numIter >= max_iter:
-        warnings.warn(f"k-means was stopped after {max_iter} iterations", stacklevel=2)
-    return best
-
-
 def cluster_students(
-    features: DataFrame, cols: Sequence[str] = tuple(FEATURES), k: int = 4, seed: int = 42,
-    n_init: int = 10, partitions: int = 64,
+    features: DataFrame, cols: Sequence[str] = tuple(FEATURES), k: int = 4, seed: int = 42, n_init: int = 10,
 ) -> DataFrame:
     """Add ``cluster``: k-means on the z-scored columns, best of several starts.
 
-    Starts are drawn per partition, so students are dealt out by hash into a fixed number
-    of partitions and sorted there; the result depends on ``partitions`` and on the rows only.
+    Starts are drawn by a hash of the student, so the result depends on the rows only. Clusters are numbered
+    by grade, then attendance of their centres, highest first.
     """
     cols = list(cols)
-    # Scaled copies go into the vector; every fit and the assignment read the pinned frame.
+    scaled_cols = [f"z_{c}" for c in cols]
     shadow = features.withColumns({f"z_{c}": F.col(c).cast("double") for c in cols})
-    scaled = zscore(shadow, [f"z_{c}" for c in cols])
-    assembler = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features")
-    dealt = scaled.repartition(partitions, "student_id").sortWithinPartitions("student_id")
-    points = pinned(assembler.transform(dealt).select("student_id", *cols, "features"))
-    model = best_kmeans(points, k, seed, n_init)
-    found = model.transform(points)
-    number = F.element_at(F.array(*_numbers(model, cols)), F.col("prediction") + 1)
-    return found.withColumn("cluster", number).drop("features", "prediction")
-
-
-def _numbers(model: KMeansModel, cols: list[str]) -> list[Column]:
-    """A number for each centre: by grade, then attendance, highest first.
-
-    The order in which a fit finds its centres is arbitrary; this one is not.
-    """
-    centres = model.clusterCenters()
+    points = pinned(zscore(shadow, scaled_cols).select("student_id", *cols, *scaled_cols))
+    centres = best_kmeans(points, "student_id", scaled_cols, k, seed, n_init).centres
+    if not centres:
+        return points.select("student_id", *cols, F.lit(None).cast("int").alias("cluster"))
     ranked = [cols.index(c) for c in ("avg_grade", "att_rate") if c in cols] or [0]
-    order = sorted(range(len(centres)), key=lambda i: [-centres[i][c] for c in ranked])
-    return [F.lit(order.index(i)) for i in range(len(centres))]
+    ordered = sorted(centres, key=lambda centre: [-centre[i] for i in ranked])
+    return assigned(points, scaled_cols, ordered, "cluster").drop(*scaled_cols)
 
 
 def segment_rule(grade: Column, att: Column, logins: Column, typical_logins: Column) -> Column:

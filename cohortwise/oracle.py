@@ -7,6 +7,27 @@ from __future__ import annotations
 
 import re
 
+
+
+def _u(step: int) -> str:
+    """A number between 0 and 1 for each student, start and draw."""
+    key = f"student_id || '|' || (42 + start) || '|{step}'"
+    return f"(('0x' || substr(md5({key}), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+def _round(name: str, limit: float) -> str:
+    """One round of k-means for every start whose centres moved by more than ``limit``."""
+    means = ", ".join(f"avg(z[{i}])" for i in range(1, 6))
+    return f"""SELECT start, i + 1, list_transform(range(1, 5), lambda j: coalesce(m[j], c[j])),
+        list_sum(list_transform(range(1, 5), lambda j: coalesce(list_distance(m[j], c[j]) ** 2, 0::DOUBLE))), cost
+        FROM (SELECT start, i, any_value(c) AS c, sum(q) AS cost, map(list(k), list(mean)) AS m FROM (
+            SELECT start, i, any_value(c) AS c, k, sum(d * d) AS q, [{means}] AS mean FROM (
+                SELECT start, i, c, z, list_position(ds, list_min(ds)) AS k, list_min(ds) AS d FROM (
+                    SELECT start, i, c, z, list_transform(c, lambda x: list_distance(x, z)) AS ds
+                    FROM {name}, zf WHERE moved > {limit} AND i < 300))
+            GROUP BY start, i, k) GROUP BY start, i)"""
+
+
 VIEWS: dict[str, str] = {
     "courses": "SELECT r_regionkey AS course_id, r_name AS course_name FROM region",
     "groups": """SELECT n_nationkey AS group_id, n_name AS group_name, n_regionkey AS course_id,
@@ -236,6 +257,35 @@ VIEWS: dict[str, str] = {
             ELSE '📈 Average / Improving' END AS segment, students
         FROM (SELECT cluster, avg(avg_grade) AS g, avg(att_rate) AS a, avg(logins) AS l,
             count(*) AS students FROM members GROUP BY cluster)""",
+    # K-means of ten starts, drawn by a race of arrival times; rounds are recursive.
+    "zf": "SELECT student_id, ["
+        + ", ".join(
+            f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0)::DOUBLE"
+            for c in ("att_rate", "avg_grade", "logins", "video_sec", "failed_c")
+        )
+        + "] AS z FROM feat",
+    "drawn1": "SELECT start, [arg_min(z, -ln(u))] AS c FROM ("
+        + f"SELECT start, z, {_u(0)} AS u FROM zf, (SELECT unnest(range(10)) AS start)) GROUP BY start",
+    **{f"drawn{step + 1}": f"""SELECT start, list_append(any_value(c), arg_min(z, -ln(u) / w)) AS c FROM (
+        SELECT start, c, z, {_u(step)} AS u, list_min(list_transform(c, lambda x: list_distance(x, z))) ** 2 AS w
+        FROM zf, drawn{step}) WHERE w > 0 GROUP BY start""" for step in (1, 2, 3)},
+    "rounds": "SELECT start, 0 AS i, c, 1e9::DOUBLE AS moved, 0::DOUBLE AS cost FROM drawn4 UNION ALL "
+        + _round("rounds", 1e-4),
+    "rested": """SELECT start, arg_max(c, i) AS c, arg_max(moved, i) AS moved, arg_max(cost, i) AS cost
+        FROM rounds GROUP BY start""",
+    "polished": "(SELECT start, 0 AS i, c, moved, cost FROM rested ORDER BY cost, start LIMIT 1) UNION ALL "
+        + _round("polished", 1e-12),
+    "clustered": """SELECT feat.*, len(list_filter(c, lambda x: x[2] > c[k][2] OR x[2] = c[k][2] AND x[1] > c[k][1]))::INTEGER
+        AS cluster FROM (SELECT student_id, c, list_position(ds, list_min(ds)) AS k FROM (
+            SELECT student_id, c, list_transform(c, lambda x: list_distance(x, z)) AS ds
+            FROM zf, (SELECT arg_max(c, i) AS c FROM polished))) JOIN feat USING (student_id)""",
+    "segmented": """SELECT clustered.*, segment FROM clustered JOIN (
+        SELECT cluster, CASE WHEN g >= 75 AND a >= 75 THEN '🏆 High Achievers'
+            WHEN g < 60 AND a < 50 THEN '🚨 At-Risk / Disengaged'
+            WHEN l >= (SELECT median(logins) FROM feat) AND g < 70 THEN '⚡ Engaged but Struggling'
+            ELSE '📈 Average / Improving' END AS segment
+        FROM (SELECT cluster, avg(avg_grade) AS g, avg(att_rate) AS a, avg(logins) AS l
+            FROM clustered GROUP BY cluster)) USING (cluster)""",
     "members": """SELECT feat.*, course_id AS cluster FROM feat JOIN students USING (student_id)""",
     "feed": """SELECT event_id,
         CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value * 30 AS VARCHAR) END AS seconds,
@@ -482,6 +532,12 @@ REPORTS: dict[str, str] = {
     "student_features_scaled": "SELECT student_id, "
         + ", ".join(_z(c) for c in ("att_rate", "avg_grade", "logins", "video_sec", "failed_c"))
         + " FROM feat",
+    "student_segments": """SELECT student_id, round(att_rate, 6) AS att_rate, round(avg_grade, 6) AS avg_grade,
+        logins, round(video_sec, 6) AS video_sec, failed_c, cluster, segment FROM segmented""",
+    "segment_profile": """SELECT segment, count(*) AS students, round(avg(att_rate), 6) AS att_rate,
+        round(avg(avg_grade), 6) AS avg_grade, round(avg(logins), 6) AS logins,
+        round(avg(video_sec), 6) AS video_sec, round(avg(failed_c), 6) AS failed_c
+        FROM segmented GROUP BY segment""",
     "course_labels": "SELECT cluster, segment, students FROM labelled",
     "activity_decline": """SELECT student_id, round(eng_first, 6) AS eng_first,
         round(eng_last, 6) AS eng_last, round(eng_decline, 6) AS eng_decline FROM decl""",
@@ -563,7 +619,7 @@ REPORTS: dict[str, str] = {
 def _needed(body: str, found: dict[str, str]) -> None:
     for name, sql in VIEWS.items():
         if name not in found and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", body):
-            _needed(sql, found)
+            _needed(re.sub(rf"\b{name}\b", "", sql), found)  # a recursive view names itself
             found[name] = sql
 
 
@@ -574,5 +630,6 @@ def oracle_queries() -> dict[str, str]:
         views: dict[str, str] = {}
         _needed(body, views)
         head = ",\n".join(f"{name} AS ({sql})" for name, sql in views.items())
-        queries[report] = f"WITH {head}\n{body}" if views else body
+        word = "WITH RECURSIVE" if "rounds" in views else "WITH"
+        queries[report] = f"{word} {head}\n{body}" if views else body
     return queries
