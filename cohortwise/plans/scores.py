@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions import aggregates as A
 from cohortwise.functions import bands as B
+from cohortwise.functions.periods import month_key
 from cohortwise.functions.scalars import (
     hours_between, in_open_range, map_values, seconds_to_hours, title_case,
 )
@@ -21,6 +22,9 @@ from cohortwise.operators.grouping import (
 )
 from cohortwise.operators.ordering import quartile_band, rank_within
 from cohortwise.operators.regression import line_from_sums, linreg_by, ols_by
+from cohortwise.operators.sketches import (
+    merged_sketches, quantile_sketches, sketched_quantiles, within_rank,
+)
 from cohortwise.sources.tables import CohortTables
 
 # Display names of the assessment types, grid of the density curves.
@@ -33,6 +37,8 @@ TYPE_LABELS = {
 SCORE_GRID = [float(x) for x in range(0, 101, 5)]
 
 
+APPROX_SHARES = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
+
 # --- by assessment type -------------------------------------------------------------------
 
 
@@ -49,6 +55,25 @@ def score_outliers_by_type(t: CohortTables) -> DataFrame:
     return box_outliers(t.get("grades", "type", "score"), "type", "score")
 
 
+def score_sketches(t: CohortTables, k: int = 400) -> DataFrame:
+    """A quantile sketch of the scores of each assessment type and month; stored by a refresh."""
+    if t.has("score_sketches"):
+        return t.get("score_sketches")
+    grades = t.get("grades", "type", "score", "date").withColumn("month", month_key("date"))
+    return quantile_sketches(grades.fillna({"month": ""}), ["type", "month"], "score", k)
+
+
+def approx_score_quantiles(t: CohortTables) -> DataFrame:
+    """Approximate quartiles and 95th percentile per assessment type, merged from its months."""
+    return sketched_quantiles(merged_sketches(score_sketches(t), "type"), APPROX_SHARES)
+
+
+def approx_score_check(t: CohortTables, bound: float = 0.02) -> DataFrame:
+    """Whether each approximate quantile's true rank lies within ``bound`` of its share."""
+    grades = t.get("grades", "type", "score")
+    return within_rank(grades, "type", "score", approx_score_quantiles(t), APPROX_SHARES, bound)
+
+
 def score_density_by_type(t: CohortTables, grid: Sequence[float] = tuple(SCORE_GRID)) -> DataFrame:
     return density_by(t.get("grades", "type", "score"), "type", "score", grid)
 

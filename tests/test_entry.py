@@ -18,7 +18,7 @@ def con():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ORACLE) == {"approx_score_quantiles"}  # see approx_score_check
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
