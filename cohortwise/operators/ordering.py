@@ -2,8 +2,8 @@
 
 Quantiles are found by counting: values are counted per key and bin, and only the values of
 the bins that hold the wanted places are put in order. No step needs the whole order,
-and nothing runs before the result is asked for. Ranks of all rows need the order: rows are
-range-partitioned and each partition is numbered from the rows before it.
+and nothing runs before the result is asked for. Quartile bands come from the few rows at their ends. Ranks of all
+rows need the order: rows are range-partitioned and each partition is numbered from the rows before it.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from cohortwise.functions.bands import QUARTILE_LABELS, band_label, quantile_bin
+from cohortwise.functions.bands import QUARTILE_LABELS, band_label
 from cohortwise.operators.grouping import known, names
 from cohortwise.session import pinned
 
@@ -85,18 +86,27 @@ def matched(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
     return packed.select("*", "_side.*").drop("_side")
 
 
+def _spot(df: DataFrame, col: str) -> Column:
+    """A number in the order of ``col``: itself, or the first six bytes of a text."""
+    if isinstance(df.schema[col].dataType, NumericType):
+        return F.col(col)
+    first = F.rpad(F.substring(F.col(col).cast("string").cast("binary"), 1, 6), 6, F.lit(b"\0"))
+    return F.conv(F.hex(first), 16, 10).cast("double")
+
+
 def _at_places(
     counts: DataFrame, keys: list[str], col: str, places: Mapping[str, Column]
 ) -> DataFrame:
-    """The values at 0-based ``places`` of each key's order: (keys, name, value, _all).
+    """The values at 0-based ``places`` of each key's order: (keys, name, value, _all, _upto).
 
-    ``places`` are expressions over ``_all``, the rows of the key. What is put in order in the end is
-    one of 4,096 slices of a key's range for each place.
+    ``places`` are expressions over the keys and ``_all``, the rows of the key; ``_upto`` counts the rows before the
+    value's first. What is put in order in the end is one of 4,096 slices of a key's range for each place.
     """
+    spot = _spot(counts, col)
     stats = counts.groupBy(*keys).agg(
-        F.sum("copies").alias("_all"), F.min(col).alias("_low"), F.max(col).alias("_high")
+        F.sum("copies").alias("_all"), F.min(spot).alias("_low"), F.max(spot).alias("_high")
     )
-    slot = F.floor((F.col(col) - F.col("_low")) / (F.col("_high") - F.col("_low")) * _BINS)
+    slot = F.floor((spot - F.col("_low")) / (F.col("_high") - F.col("_low")) * _BINS)
     slot = F.when(F.col("_high") > F.col("_low"), F.least(slot, F.lit(_BINS - 1))).otherwise(F.lit(0))
     binned = matched(counts, stats, keys).withColumn("_bin", slot).drop("_low", "_high")
     # At most _BINS rows per key.
@@ -120,7 +130,7 @@ def _at_places(
     hit = found.withColumn("_hit", F.explode("_wanted")).where(
         (F.col("_hit.place") >= F.col("_upto")) & (F.col("_hit.place") < F.col("_upto") + F.col("copies"))
     )
-    return hit.select(*keys, F.col("_hit.name").alias("name"), F.col(col).alias("value"), "_all")
+    return hit.select(*keys, F.col("_hit.name").alias("name"), F.col(col).alias("value"), "_all", "_upto")
 
 
 def quantiles_of(
@@ -155,11 +165,25 @@ def exact_quantiles(
 def quartile_band(
     df: DataFrame, col: str, tiebreak: str, labels: Sequence[str] = tuple(QUARTILE_LABELS)
 ) -> DataFrame:
-    """Cut the rank of ``col`` into equal quantiles: ``band_ord`` and ``band``.
+    """Cut the rank of ``col``, ties in ``tiebreak`` order, into equal quantiles: ``band_ord`` and ``band``.
 
-    Ranks come from :func:`rank_first`, whose stored copy is written while this is built.
+    Rows without a value or tiebreak drop out. No row gets its rank: the last rows of the lower bands are looked up,
+    by value and then among the ties of that value, and every row is compared with these few.
+    Nothing runs before the result is asked for.
     """
-    ranked = rank_first(df, col, tiebreak, "_rank")
-    rows = ranked.agg(F.max("_rank")).scalar()
-    banded = ranked.withColumn("band_ord", quantile_bin("_rank", rows, len(labels)))
-    return banded.withColumn("band", band_label("band_ord", list(labels))).drop("_rank")
+    bands = len(labels)
+    rows = known(df, [col, tiebreak])
+    places = {str(b): F.floor((F.col("_all") - 1) * b / F.lit(bands)) for b in range(1, bands)}
+    lasts = _at_places(value_counts(rows, [], col), [], col, places)
+    place = F.floor((F.col("_all") - 1) * F.col("name").cast("int") / F.lit(bands))
+    # One row per lower band.
+    lasts = F.broadcast(
+        lasts.select(F.col("name").alias("_cut"), F.col("value").alias("_last"), (place - F.col("_upto")).alias("_rest"))
+    )
+    tied = rows.select(col, F.col(tiebreak).alias("_tie")).join(lasts, F.col(col) == F.col("_last"))
+    keys = ["_cut", "_rest", "_last"]
+    ends = _at_places(value_counts(tied, keys, "_tie"), keys, "_tie", {"end": F.col("_rest")})
+    cuts = ends.agg(F.collect_list(F.struct("_last", "value"))).scalar()
+    passed = F.filter(F.col("_cuts"), lambda cut: F.struct(F.col(col), F.col(tiebreak)) > cut)
+    banded = rows.withColumn("_cuts", cuts).withColumn("band_ord", F.size(passed) + 1).drop("_cuts")
+    return banded.withColumn("band", band_label("band_ord", list(labels)))
