@@ -205,28 +205,12 @@ def test_quartiles_of_few_rows(spark):
         assert got == [max(1, -(-4 * r // max(1, n - 1))) for r in range(n)]
 
 
-def test_quartiles_by_text_ties(spark):
-    """A third of all rows share a value, and their ids are texts."""
-    ids = [f"student {i:05d}" if i % 2 else f"é{i}" for i in range(900)]
-    data = [(s, 1.0 if i % 3 else float(i), "x") for i, s in enumerate(ids)] + [(None, 1.0, "x"), ("none", None, "x")]
-    df = spark.createDataFrame(data, "id string, v double, name string").repartition(5)
-    got = {r["id"]: r["band_ord"] for r in ordering.quartile_band(df, "v", "id").collect()}
-    order = sorted((v, s) for s, v, _ in data[:900])
-    assert got == {s: max(1, -(-4 * r // 899)) for r, (_, s) in enumerate(order)}
-
-
-def test_quartile_plan_sorts_and_stores_no_rows(spark):
-    plan = ordering.quartile_band(skewed(spark), "v", "id")._jdf.queryExecution().toString()
-    assert "rangepartitioning" not in plan and "Scan ExistingRDD[_at" not in plan and "CartesianProduct" not in plan
-
-
 def test_building_a_quantile_starts_no_job(spark):
     df = skewed(spark)
     spark.sparkContext.setJobGroup("quiet", "built only")
     try:
         ordering.exact_quantiles(df, "k", "v", {"m": 0.5})
         distribution.box_stats_by(df, "k", "v")
-        ordering.quartile_band(df, "v", "id")
         distribution.density_by(df, "k", "v", [0.0, 1.0])
         assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("quiet")) == []
     finally:
