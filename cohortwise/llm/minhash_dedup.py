@@ -5,12 +5,14 @@ signature, and empty bins borrow from a bin drawn for them (optimal
 densification), which keeps bins independent also for short texts. Bands of the
 signature are bucket keys. Within a bucket every member is first tied to a few hub
 members only, so a group of copies makes as many pairs as members and not their
-square; every tie is then confirmed on the whole shingle sets. Members of one
-bucket that this leaves in different components meet by their rarest shingles.
+square; every tie is then confirmed on the whole shingle sets. Members of crowded
+buckets that this leaves in different components take a new signature with more bins
+to a band, so that their buckets get small, and are tied to hubs again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,9 @@ _MIX_A, _MIX_B, _MIX_C = (
 )
 _PROBES = 64
 
+#: Bins to a band of the finer signatures, round by round; every band of a permutation; what a round may miss.
+_FINER_ROWS, _BANDS_EACH, _MISSED = (10, 15, 20), 16, 1e-3
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX_B
@@ -145,15 +150,18 @@ def _fit(left: str, right: str, percent: int):
 
 
 def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, hubs) of the buckets with two members or more.
+    """(members, hubs) of the buckets with two members or more; of two components, where these are known.
 
     The hubs are the member that meets the most others over all its buckets (the
     middle of a group of copies), the one with the smallest id, and one drawn by
     hash for this bucket.
     """
-    member = F.struct("id", "n", "set_id")
+    known = "component" in classes.columns
+    member = F.struct("id", "n", "set_id", *["component"] * known)
     bands = classes.select(member.alias("m"), F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    spread = [F.min("m.component").alias("low"), F.max("m.component").alias("high")] if known else []
+    wanted = "low <> high" if known else "size > 1"
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *spread).where(wanted).select("key", "size")
     crowded = pinned(bands.join(shared, "key"))
     degree = crowded.groupBy(F.col("m.set_id").alias("set_id")).agg(F.sum("size").alias("degree"))
     placed = crowded.withColumn("set_id", F.col("m.set_id")).join(degree, "set_id")
@@ -170,9 +178,11 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _star_edges(crowded: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs: in each bucket every member with the hubs."""
+    """Candidate pairs: in each bucket every member with the hubs, if they aren't known to be linked."""
     ties = crowded.join(hubs, "key").select("m", F.explode("hubs").alias("hub"))
     fits = _fit("m", "hub", percent) & (F.col("m.set_id") != F.col("hub.set_id"))
+    if "component" in crowded.schema["m"].dataType.names:
+        fits &= F.col("m.component") != F.col("hub.component")
     return ties.where(fits).select(*_as_edges("m", "hub")).distinct()
 
 
@@ -183,7 +193,7 @@ def _apart(crowded: DataFrame, hubs: DataFrame, linked: DataFrame) -> DataFrame:
         crowded.where("size > 2").join(hubs, "key")
         .where("size > size(hubs) + 1")
         .where(~F.array_contains(F.col("hubs.set_id"), F.col("m.set_id")))
-        .select("key", "m.*")
+        .select("key", "m.id", "m.n", "m.set_id")
         .join(linked.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
     )
@@ -193,38 +203,35 @@ def _apart(crowded: DataFrame, hubs: DataFrame, linked: DataFrame) -> DataFrame:
     return free.join(torn, "key", "left_semi").select("id", "n", "set_id", "component").distinct()
 
 
-def _rare_edges(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs: all members of different components that can be similar enough.
+def _finer(apart: DataFrame, sets: DataFrame, rows: int, percent: int) -> DataFrame:
+    """``apart`` with the ``bands`` of a new signature, ``rows`` bins to a band.
 
-    Of two sets that share ``percent`` hundredths, each holds a common shingle among its rarest ones, as
-    many as it may lack and one more, whatever the order of rarity is. Shingles of one
-    component only come first in this order, as no wanted pair shares them.
+    There are as many bands as leave a pair at ``percent`` hundredths apart with probability ``_MISSED``.
+    They come from several permutations of ``_BANDS_EACH`` bands, so that short sets need not fill long signatures.
     """
-    tokens = apart.join(sets, "set_id").select(
-        F.struct("id", "n", "set_id", "component").alias("m"), F.explode("shingles").alias("shingle")
-    )
-    spread = tokens.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("holders"),
-        F.min("m.component").alias("low"), F.max("m.component").alias("high"),
-    ).where("low <> high").select("shingle", "holders")
-    common = tokens.join(spread, "shingle").groupBy("m").agg(
-        F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("common")
-    )
-    least = F.ceil(F.col("m.n") * percent / F.lit(100)).cast("int")
-    rarest = F.slice("common", F.lit(1), F.size("common") - least + 1)
-    rare = pinned(
-        common.where(F.size("common") >= least).select("m", F.explode(rarest).alias("r")).select("m", "r.shingle")
-    )
-    # The largest component of a shingle's holders isn't compared with itself, so it makes no square.
-    held = rare.groupBy("shingle", "m.component").agg(F.count(F.lit(1)).alias("k"))
-    held = held.groupBy("shingle").agg(
-        F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components")
-    ).where("components > 1").select("shingle", "main")
-    others = rare.join(held, "shingle").where("m.component <> main").select("shingle", F.col("m").alias("o"))
-    met = others.join(rare, "shingle").where(
-        (F.col("o.component") != F.col("m.component")) & _fit("o", "m", percent)
-    )
-    return met.select(*_as_edges("o", "m")).distinct()
+    bands = math.log(_MISSED) / math.log1p(-((percent / 100) ** rows)) if percent < 100 else 1
+    draws = range(math.ceil(bands / _BANDS_EACH))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for hashed in batch.column(1):
+                own = hashed.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                keys = []
+                for draw in draws:
+                    salt = np.uint64(rows * 0x10000 + draw + 1)
+                    drawn = np.sort(_mix(own * _MIX_A + salt * _MIX_C))
+                    key = band_keys(signature(drawn, rows * _BANDS_EACH), rows).view(np.uint64)
+                    keys.append(_mix(key + salt * _MIX_A).view(np.int64))
+                found.append(np.concatenate(keys))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["set_id", "bands"]
+            )
+
+    wanted = sets.join(apart.select("set_id"), "set_id", "left_semi").select("set_id", "shingles")
+    # A long row makes hundreds of keys, so the rows are dealt out over all tasks.
+    dealt = wanted.repartition(apart.sparkSession.sparkContext.defaultParallelism, "set_id")
+    return apart.join(dealt.mapInArrow(sketch, "set_id binary, bands array<long>"), "set_id")
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,6 +245,18 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return paired.where(F.col("common") * 100 >= F.col("both") * percent).select("a", "b")
 
 
+def _joined(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """``linked`` after its components, and nodes that have none yet, are joined by ``links``."""
+    # A component is named by its smallest node, so joined components are named by the smallest of their names.
+    name = linked.toDF("id", "name")
+    for end in ("a", "b"):
+        links = links.join(name, F.col(end) == F.col("id"), "left").withColumn(end, F.coalesce("name", end)).select("a", "b")
+    joined = components(links).toDF("component", "larger")
+    every = linked.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()
+    # A joined node that had no link before names itself; one that had is in both lists with the same name.
+    return pinned(every.join(joined, "component", "left").select("node", F.coalesce("larger", "component").alias("component")))
+
+
 def _linked(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of the classes that are linked with others."""
 
@@ -249,18 +268,17 @@ def _linked(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> D
     sets = sets_of(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
     linked = components(_confirmed(edges, sets, percent))
     apart = pinned(_apart(crowded, hubs, linked))
-    if apart.isEmpty():
-        return linked
-    sets = sets_of(apart.select("id").distinct())
-    links = _confirmed(pinned(_rare_edges(apart, sets, percent)), sets, percent)
-    # A component is named by its smallest node, so joined components are named by the smallest of their names.
-    name = linked.toDF("id", "name")
-    for end in ("a", "b"):
-        links = links.join(name, F.col(end) == F.col("id"), "left").withColumn(end, F.coalesce("name", end)).select("a", "b")
-    joined = components(links).toDF("component", "larger")
-    every = linked.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()
-    # A joined node that had no link before names itself; one that had is in both lists with the same name.
-    return every.join(joined, "component", "left").select("node", F.coalesce("larger", "component").alias("component"))
+    own = None
+    for rows in _FINER_ROWS:
+        if apart.isEmpty():
+            break
+        if own is None:
+            own = sets_of(apart.select("id").distinct())
+        crowded, hubs = _buckets(_finer(apart, own, rows, percent))
+        links = _confirmed(pinned(_star_edges(crowded, hubs, percent)), own, percent)
+        linked = _joined(linked, links)
+        apart = pinned(_apart(crowded, hubs, linked))
+    return linked
 
 
 def near_duplicates(
@@ -279,8 +297,10 @@ def near_duplicates(
     words link with nothing. Rows with equal sets form one class and enter the
     search once. A row without an id is linked with nothing, has no component and
     is kept. Rows that share an id but not their text are judged by their text.
-    With 32 bands of 5 bins a pair at 0.8 shares no bucket with probability 3e-6; a pair that shares one
-    is compared, unless other links tie it already.
+    With 32 bands of 5 bins a pair at 0.8 shares no bucket with probability 3e-6. In a bucket members are
+    compared with three hubs; where that leaves uncompared members in different components, rounds with 10, 15 and
+    20 bins to a band follow, each of which lets a pair at 0.8 share no bucket with probability 0.001. So every round's
+    pairs grow with the members; a pair of a large family that meets no hub in the last round's buckets is missed.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = pinned(_sketches(texts, words, bins, rows))
