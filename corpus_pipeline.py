@@ -18,6 +18,9 @@ from cohortwise.session import shared_path
 #: Neither learned lexicons nor run-length indexes are SQL; tests compare with brute force.
 ORACLE_SQL = None
 
+#: Shortest repeated string that is cut out: less than any passage of over 50 words has.
+REPEAT_BYTES = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from the labels, does not reject."""
@@ -31,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes that occur elsewhere."""
-    return suffix_dedup.drop_repeats(docs, length=400)
+    """All documents, without the strings of REPEAT_BYTES bytes that occur elsewhere."""
+    return suffix_dedup.drop_repeats(docs, length=REPEAT_BYTES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def test_stages(spark, folder):
 
     cut = stages["suffix_dedup"](spark, single, folder)
     order = list(left)
-    removed = dict(zip(order, repeats([left[i]["text"] for i in order], 400), strict=True))
+    removed = dict(zip(order, repeats([left[i]["text"] for i in order], corpus_pipeline.REPEAT_BYTES), strict=True))
     assert any(r[1] for r in removed.values())
     for r in cut.collect():
         if left[r["doc_id"]]["text"] is not None:
