@@ -31,7 +31,7 @@ _MIX_A, _MIX_B, _MIX_C = (
 _PROBES = 64
 
 #: Bins to a band of the finer signatures, round by round; every band of a permutation; what a round may miss.
-_FINER_ROWS, _BANDS_EACH, _MISSED = (10, 15, 20), 16, 1e-3
+_FINER_ROWS, _BANDS_EACH, _MISSED = (12, 18), 16, 1e-3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -219,10 +219,10 @@ def _finer(apart: DataFrame, sets: DataFrame, rows: int, percent: int) -> DataFr
                 own = hashed.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 keys = []
                 for draw in draws:
-                    salt = np.uint64(rows * 0x10000 + draw + 1)
-                    drawn = np.sort(_mix(own * _MIX_A + salt * _MIX_C))
+                    salt = _mix(np.full(1, rows * 0x10000 + draw + 1, np.uint64))
+                    drawn = np.sort(_mix(own * _MIX_A + salt))
                     key = band_keys(signature(drawn, rows * _BANDS_EACH), rows).view(np.uint64)
-                    keys.append(_mix(key + salt * _MIX_A).view(np.int64))
+                    keys.append(_mix(key + salt).view(np.int64))
                 found.append(np.concatenate(keys))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["set_id", "bands"]
@@ -268,16 +268,17 @@ def _linked(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> D
     sets = sets_of(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
     linked = components(_confirmed(edges, sets, percent))
     apart = pinned(_apart(crowded, hubs, linked))
-    own = None
+    if apart.isEmpty():
+        return linked
+    sets = sets_of(apart.select("id").distinct())
     for rows in _FINER_ROWS:
-        if apart.isEmpty():
+        crowded, hubs = _buckets(pinned(_finer(apart, sets, rows, percent)))
+        links = pinned(_confirmed(_star_edges(crowded, hubs, percent), sets, percent))
+        if links.isEmpty():
             break
-        if own is None:
-            own = sets_of(apart.select("id").distinct())
-        crowded, hubs = _buckets(_finer(apart, own, rows, percent))
-        links = _confirmed(pinned(_star_edges(crowded, hubs, percent)), own, percent)
         linked = _joined(linked, links)
-        apart = pinned(_apart(crowded, hubs, linked))
+        if rows < _FINER_ROWS[-1]:
+            apart = pinned(_apart(crowded, hubs, linked))
     return linked
 
 
@@ -298,9 +299,9 @@ def near_duplicates(
     search once. A row without an id is linked with nothing, has no component and
     is kept. Rows that share an id but not their text are judged by their text.
     With 32 bands of 5 bins a pair at 0.8 shares no bucket with probability 3e-6. In a bucket members are
-    compared with three hubs; where that leaves uncompared members in different components, rounds with 10, 15 and
-    20 bins to a band follow, each of which lets a pair at 0.8 share no bucket with probability 0.001. So every round's
-    pairs grow with the members; a pair of a large family that meets no hub in the last round's buckets is missed.
+    compared with three hubs; where that leaves uncompared members in different components, rounds with 12 and 18
+    bins to a band follow, unless the round before found no link. In each a pair at 0.8 shares no bucket with
+    probability 0.001. So pairs grow with the members; one that meets no hub in any round's buckets is missed.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = pinned(_sketches(texts, words, bins, rows))
