@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.components import components
+from cohortwise.llm.texts import in_slices
 from cohortwise.session import pinned
 
 # Odd multipliers that mix 64-bit words.
@@ -98,7 +99,7 @@ def _set_id(shingles: np.ndarray) -> bytes:
 
 def _sketches(docs: DataFrame, words: int, bins: int, rows: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -118,7 +119,7 @@ def _sketches(docs: DataFrame, words: int, bins: int, rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -213,7 +214,7 @@ def _finer(apart: DataFrame, sets: DataFrame, rows: int, percent: int) -> DataFr
     draws = range(math.ceil(bands / _BANDS_EACH))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = []
             for hashed in batch.column(1):
                 own = hashed.values.to_numpy(zero_copy_only=False).view(np.uint64)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.runlength_index import RunLengthIndex
+from cohortwise.llm.texts import in_slices
 from cohortwise.session import pinned
 
 # Odd multipliers that mix 64-bit words.
@@ -87,7 +88,7 @@ def _bytes(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 
 def _occurrences(texts: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             parts: list[tuple] = []
             for text in _bytes(batch, 0):
                 if len(text) < length:
@@ -119,7 +120,7 @@ def _packed(texts: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = list(_bytes(batch, 1))
             keys = [_text_key(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +149,7 @@ def _with_bytes(distinct: DataFrame, packed: DataFrame) -> DataFrame:
     kinds = {"key": pa.int64(), "cid": pa.int64(), "n": pa.int64(), "at": pa.int32()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             for z, asked in zip(batch.column(0), batch.column(1), strict=True):
                 text, rows = _unpacked(z), asked.as_py()
                 columns = [pa.array([r[c] for r in rows], k) for c, k in kinds.items()]
@@ -184,7 +185,7 @@ def _indexed(groups: DataFrame, length: int) -> DataFrame:
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         letters, key = 0, None
-        for batch in batches:
+        for batch in in_slices(batches):
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if letters >= _INDEX_LETTERS and row[0] != key:
                     yield index(rows)
@@ -310,7 +311,7 @@ def dedup_substrings(
     spans = repeated_spans(texts, packed, length)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sizes, found, kept = [], [], []
             for z, asked in zip(batch.column(1), batch.column(2), strict=True):
                 text, cuts = _unpacked(z), _union(asked.as_py())
@@ -353,7 +354,7 @@ def drop_repeats(
     result = dedup_substrings(rows, "row", text_col, length)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string())], ["row", "kept"]

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortwise.llm.texts import in_slices
+
 # Letters of other scripts, and i and l, which digit 1 stands for both.
 _LOOKALIKE = str.maketrans(
     "абвеіјкмнорсѕтухԁԛԝɑɡαβεηικνορτυχ" "l|",
@@ -130,7 +132,7 @@ def _document_counts(texts: DataFrame, among: frozenset[str] | None = None) -> D
     """(entry, documents) over ``text``; only entries of ``among`` if it is given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             counts: Counter[str] = Counter()
             for text in batch.column(0):
                 found = entries_of(folded_words(text.as_py()))
@@ -222,7 +224,7 @@ def _features(rows: DataFrame, lexicon: Lexicon, keep: str) -> DataFrame:
     shared, kept = rows.sparkSession.sparkContext.broadcast(lexicon), rows.columns[1]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [shared.value.features(t.as_py()) for t in batch.column(0)]
             columns = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
@@ -256,7 +258,7 @@ def drop_toxic(
     shared, at = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [shared.value.features(t.as_py()) for t in batch.column(at)]
             scores = shared.value.score(np.array(found, float).reshape(-1, 2))
             yield batch.filter(pa.array(scores < threshold))
