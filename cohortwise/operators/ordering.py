@@ -1,7 +1,7 @@
 """Exact ranks, quantiles and quartile bands that never gather a group in one task.
 
-Quantiles are found by counting: values are counted per key and bin, and only the values of
-the bins that hold the wanted places are put in order. No step needs the whole order,
+Quantiles are found by counting: values are counted per key and digit of an order-preserving code, and only
+the values that share two digits with a wanted place are put in order. No step needs the whole order,
 and nothing runs before the result is asked for. Ranks of all rows need the order: rows are
 range-partitioned and each partition is numbered from the rows before it.
 """
@@ -18,7 +18,9 @@ from cohortwise.operators.grouping import known, names
 from cohortwise.session import pinned
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition << 33 | row in partition
-_BINS = 4096
+# A double's fraction and least power of two; a code has 22, 21 and 21 bits to its digits.
+_FRACTION_BITS, _LEAST_POWER = 52, -1022
+_DIGIT_BITS = (21, 21)
 
 
 def with_position(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
@@ -85,36 +87,73 @@ def matched(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
     return packed.select("*", "_side.*").drop("_side")
 
 
+def order_code(col: str) -> Column:
+    """A whole number that rises with a numeric column: a double's sign, exponent and 52 further bits.
+
+    Right beside powers of two rounding lets some hundred neighbours share a code; the order never
+    changes. Infinities and NaN stand at the ends.
+    """
+    value = F.col(col).cast("double")
+    size = F.abs(value)
+    power = F.greatest(F.floor(F.log(size) / F.log(F.lit(2.0))), F.lit(_LEAST_POWER).cast("long"))
+    part = (size / F.pow(F.lit(2.0), power) - 1.0) * F.lit(float(1 << _FRACTION_BITS))
+    # Below the least power values are spaced evenly down to zero.
+    part = F.when(power > _LEAST_POWER, F.greatest(part, F.lit(0.0))).otherwise(part)
+    part = F.floor(F.least(part, F.lit(float((1 << _FRACTION_BITS) - 1))))
+    code = F.shiftleft(power - _LEAST_POWER + 1, _FRACTION_BITS) + part
+    largest = F.lit((1 << 63) - 1).cast("long")
+    code = F.when(size == 0, F.lit(0).cast("long")).when(size >= F.lit(float("inf")), largest).otherwise(code)
+    return F.when(value < 0, -code).otherwise(code)
+
+
+def _digits() -> list[Column]:
+    """The upper two of a code's three digits; a digit takes 2^22 values at most."""
+    low, middle = _DIGIT_BITS
+    return [F.shiftright("_code", low + middle), F.shiftright("_code", low).bitwiseAND(F.lit((1 << middle) - 1))]
+
+
+def _slices_hit(rows: DataFrame, within: list[str], digit: str, carried: list[str], wanted: Column) -> DataFrame:
+    """The slices of each ``within`` that hold a wanted place: (within, digit, _before, _wanted, carried).
+
+    ``_start`` is the place of the first row of each ``within``.
+    """
+    filled = rows.groupBy(*within, digit, *carried).agg(F.sum("copies").alias("_n"))
+    # A row per digit: 2^22 at most, few thousands unless values are spread over many magnitudes.
+    key = Window.partitionBy(*within)
+    earlier = key.orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+    filled = filled.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    if "_all" not in carried:
+        filled = filled.withColumns({"_all": F.sum("_n").over(key), "_start": F.lit(0).cast("long")})
+    filled = filled.withColumn("_before", F.col("_before") + F.col("_start")).withColumn("_asked", wanted)
+    inside = F.filter(
+        "_asked", lambda w: (w["place"] >= F.col("_before")) & (w["place"] < F.col("_before") + F.col("_n"))
+    )
+    return filled.withColumn("_wanted", inside).where(F.size("_wanted") > 0).select(
+        *within, digit, "_before", "_wanted", "_all"
+    )
+
+
 def _at_places(
     counts: DataFrame, keys: list[str], col: str, places: Mapping[str, Column]
 ) -> DataFrame:
     """The values at 0-based ``places`` of each key's order: (keys, name, value, _all).
 
-    ``places`` are expressions over ``_all``, the rows of the key. What is put in order in the end is
-    one of 4,096 slices of a key's range for each place.
+    ``places`` are expressions over ``_all``, the rows of the key. A radix descent: values are counted per key and
+    first digit of their code, those of the slices that hold a place per second digit, and the values that
+    share both digits with a place are put in order, 2^21 distinct codes at most however the values are spread.
     """
-    stats = counts.groupBy(*keys).agg(
-        F.sum("copies").alias("_all"), F.min(col).alias("_low"), F.max(col).alias("_high")
-    )
-    slot = F.floor((F.col(col) - F.col("_low")) / (F.col("_high") - F.col("_low")) * _BINS)
-    slot = F.when(F.col("_high") > F.col("_low"), F.least(slot, F.lit(_BINS - 1))).otherwise(F.lit(0))
-    binned = matched(counts, stats, keys).withColumn("_bin", slot).drop("_low", "_high")
-    # At most _BINS rows per key.
-    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    filled = binned.groupBy(*keys, "_bin", "_all").agg(F.sum("copies").alias("_n"))
-    filled = filled.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    wanted = F.array(
+    high, middle = _digits()
+    rows = counts.withColumn("_code", order_code(col)).withColumns({"_high": high, "_middle": middle})
+    rows = rows.drop("_code")
+    asked = F.array(
         *[F.struct(F.lit(n).alias("name"), p.cast("long").alias("place")) for n, p in places.items()]
     )
-    inside = F.filter(
-        wanted,
-        lambda w: (w["place"] >= F.col("_before")) & (w["place"] < F.col("_before") + F.col("_n")),
-    )
-    hits = filled.withColumn("_wanted", inside).where(F.size("_wanted") > 0).select(
-        *keys, "_bin", "_before", "_wanted"
-    )
-    running = Window.partitionBy(*keys, "_bin").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    found = binned.join(hits, [*keys, "_bin"]).withColumn(
+    first = _slices_hit(rows, keys, "_high", [], asked).withColumnsRenamed({"_before": "_start", "_wanted": "_held"})
+    part = rows.join(first, [*keys, "_high"])
+    second = _slices_hit(part, [*keys, "_high"], "_middle", ["_start", "_held", "_all"], F.col("_held"))
+    running = Window.partitionBy(*keys, "_high", "_middle").orderBy(col)
+    running = running.rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(second, [*keys, "_high", "_middle"]).withColumn(
         "_upto", F.col("_before") + F.coalesce(F.sum("copies").over(running), F.lit(0))
     )
     hit = found.withColumn("_hit", F.explode("_wanted")).where(

@@ -215,3 +215,48 @@ def test_building_a_quantile_starts_no_job(spark):
         assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("quiet")) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_order_codes_rise_with_the_values(spark):
+    inf = float("inf")
+    draw = np.random.default_rng(4)
+    spread = np.exp2(draw.uniform(-1080, 1023, 3000)) * draw.choice([-1, 1], 3000)
+    edges = [s * np.exp2(float(e)) * f for s in (-1, 1) for e in range(-1070, 1023, 7) for f in (1.0, 1 - 2**-53, 1 + 2**-52)]
+    values = sorted({*spread.tolist(), *map(float, edges), 0.0, 5e-324, -5e-324, 1.7976931348623157e308, inf, -inf})
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*values, float("nan")])], "i long, v double")
+    codes = [r["c"] for r in df.select("i", ordering.order_code("v").alias("c")).orderBy("i").collect()]
+    assert all(a <= b for a, b in zip(codes, codes[1:], strict=False))
+    # Codes are shared only right beside powers of two, where the logarithm rounds.
+    drawn = spread.tolist()
+    drawn = [c for v, c in zip(values, codes, strict=False) if v in drawn]
+    assert len(set(drawn)) == len(drawn)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_quantiles_of_values_spread_over_magnitudes(spark, keys):
+    """A far outlier, a crowd close together, both signs, ties and a hot key."""
+    draw = np.random.default_rng(8)
+    crowd = 7.0 + draw.integers(0, 5000, 4000) * 1e-9
+    wide = np.power(10.0, draw.uniform(-12, 12, 3000)) * draw.choice([-1, 1], 3000)
+    values = np.concatenate([crowd, wide, np.repeat(0.0, 500), [1e300, -1e300]])
+    pdf = pd.DataFrame({"k": np.where(draw.random(len(values)) < 0.8, "hot", "cold"), "v": values})
+    probs = {f"p{i}": i / 20 for i in range(21)}
+    got = ordering.exact_quantiles(spark.createDataFrame(pdf), keys, "v", probs).toPandas()
+    for name, p in probs.items():
+        if keys:
+            want = pdf.groupby("k")["v"].quantile(p)
+            np.testing.assert_allclose(got.set_index("k")[name].reindex(want.index), want, rtol=1e-9, atol=1e-300)
+        else:
+            np.testing.assert_allclose(got[name][0], pdf["v"].quantile(p), rtol=1e-9, atol=1e-300)
+
+
+def test_no_slice_of_a_long_tail_is_ordered_whole(spark):
+    """Values over twelve magnitudes and an outlier: what shares both digits with a place is few rows."""
+    values = [10 ** (12 * i / 20_000) for i in range(20_000)] + [1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    code = ordering.order_code("v")
+    for bits, most in ((42, 80), (21, 2)):
+        slices = df.groupBy(F.shiftright(code, bits).alias("s")).count()
+        assert slices.agg(F.max("count")).first()[0] <= most
+    plan = ordering.exact_quantiles(df, [], "v", {"m": 0.5})._jdf.queryExecution().toString()
+    assert "_high" in plan and "_middle" in plan
