@@ -1,10 +1,10 @@
 """Licence phrases by a positional index of rare words, in DataFrame functions only.
 
-A text's words are looked up in a small index: for every template its rarest words (by
-document frequency over the whole corpus) and where they stand in it. A hit fixes
-where the template would start; the starts of all hits are intersected with the text by
-relative position, and a template counts if enough of its words and all words of
-its mandatory phrase stand in place.
+A text's words are looked up in a small index: for every template the words of highest inverse document
+frequency (over the whole corpus) in its mandatory phrase and where they stand. A text that holds the phrase
+holds all its words, so these are also its own rarest words of the template. Each posting says where the
+template would start; the starts are intersected over all postings, and a template counts if all words of
+its mandatory phrase and enough of the others stand in place.
 """
 
 from __future__ import annotations
@@ -93,9 +93,10 @@ def document_frequencies(words: DataFrame, templates: Sequence[Template]) -> dic
 
 
 def rare_places(template: Template, frequency: dict[str, int], most: int) -> list[tuple[str, int]]:
-    """The template's ``most`` rarest words with all their places in it."""
-    rarest = sorted(set(template.words), key=lambda w: (frequency[w], w))[:most]
-    return [(w, i) for i, w in enumerate(template.words) if w in rarest]
+    """The ``most`` rarest words of the mandatory phrase with all their places in it."""
+    key = [(w, i) for i, w in enumerate(template.words) if i in template.key_places]
+    rarest = sorted({w for w, _ in key}, key=lambda w: (frequency[w], w))[:most]
+    return [(w, i) for w, i in key if w in rarest]
 
 
 def _shifted_hits(word: str, offset: int) -> Column:
@@ -103,9 +104,12 @@ def _shifted_hits(word: str, offset: int) -> Column:
 
 
 def _starts(template: Template, frequency: dict[str, int], most: int) -> Column:
-    """Where the template would start, from the places of its rare words."""
-    places = rare_places(template, frequency, most)
-    return F.array_distinct(F.concat(*[_shifted_hits(word, offset) for word, offset in places]))
+    """Where the template would start: the starts on which all postings of its rare words agree."""
+    postings = [_shifted_hits(word, offset) for word, offset in rare_places(template, frequency, most)]
+    agreed = F.array_distinct(postings[0])
+    for starts in postings[1:]:
+        agreed = F.array_intersect(agreed, starts)
+    return agreed
 
 
 def _in_place(template: Template, start: Column, places: set[int]) -> list[Column]:
@@ -155,7 +159,7 @@ def scan_licenses(
     every = [*base, *templates]
     words = docs.select(F.col(id_col).alias("id"), license_words(F.col(text_col)).alias("words"))
     frequency = document_frequencies(words, every)
-    wanted = sorted({w for t in every for w, _ in rare_places(t, frequency, 1 if t in base else rare_words)})
+    wanted = sorted({w for t in every for w, _ in rare_places(t, frequency, rare_words)})
     hit = F.transform(
         "words",
         lambda w, i: F.when(w.isin(wanted), F.struct(w.alias("word"), i.alias("place"))),
@@ -163,10 +167,7 @@ def scan_licenses(
     placed = words.withColumn("hits", F.filter(hit, lambda h: h.isNotNull()))
     starts = placed.select(
         "id", "words",
-        *[
-            _starts(t, frequency, 1 if t in base else rare_words).alias(f"t{i}")
-            for i, t in enumerate(every)
-        ],
+        *[_starts(t, frequency, rare_words).alias(f"t{i}") for i, t in enumerate(every)],
     )
     shares = starts.select(
         "id", F.size("words").cast("long").alias("n_words"),
