@@ -3,7 +3,8 @@
 Texts are folded first: case, width, homoglyphs of other scripts, digits and signs
 that stand for letters, doubled letters. The lexicon holds beginnings of words with the log
 odds of a toxic document, learned from labelled documents; exceptions are words that
-begin like an entry but are not toxic, and void the entry's hit. The weight found, related to
+begin like an entry but are not toxic, and phrases of two words that hold an entry but are not toxic; they
+void the entry's hit. The weight found, related to
 the length of the text, is turned into a probability.
 """
 
@@ -12,8 +13,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -57,6 +59,17 @@ def entries_of(words: Sequence[str]) -> set[str]:
     return out
 
 
+def phrases_of(words: Sequence[str], begins: frozenset[str]) -> set[str]:
+    """Neighbouring words, at least one of which an entry of ``begins`` hits, marked by spaces."""
+
+    def is_hit(word: str) -> bool:
+        marked = f" {word} "
+        return marked in begins or any(marked[:n] in begins for n in range(_SHORTEST + 1, min(len(marked), _LONGEST + 2)))
+
+    hit = {w for w in set(words) if is_hit(w)}
+    return {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if a in hit or b in hit}
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Weights of entries, exceptions, and the logistic curve over a document's features."""
@@ -128,14 +141,18 @@ def fit_curve(
     return float(w[0] - rates @ mean), float(rates[0]), float(rates[1])
 
 
-def _document_counts(texts: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
+def _document_counts(
+    texts: DataFrame,
+    among: frozenset[str] | None = None,
+    entries: Callable[[Sequence[str]], set[str]] = entries_of,
+) -> DataFrame:
     """(entry, documents) over ``text``; only entries of ``among`` if it is given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             counts: Counter[str] = Counter()
             for text in batch.column(0):
-                found = entries_of(folded_words(text.as_py()))
+                found = entries(folded_words(text.as_py()))
                 counts.update(found if among is None else found & among)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
@@ -168,6 +185,22 @@ def _chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     return weights, exceptions
 
 
+def _exception_phrases(
+    toxic: DataFrame, clean: DataFrame, weights: dict[str, float], sizes: tuple[int, int], least_documents: int
+) -> frozenset[str]:
+    """Phrases around hits that are commoner in clean documents than in toxic ones, each by its share."""
+    begins = frozenset(weights)
+    found = partial(phrases_of, begins=begins)
+    usual = _document_counts(clean, entries=found).where(F.col("documents") >= least_documents)
+    usual = {r["entry"]: r["documents"] for r in usual.collect()}
+    if not usual:
+        return frozenset()
+    rare = {r["entry"]: r["documents"] for r in _document_counts(toxic, frozenset(usual), found).collect()}
+    return frozenset(
+        p for p, n in usual.items() if (rare.get(p, 0) + 0.5) / (sizes[0] + 1.0) < (n + 0.5) / (sizes[1] + 1.0)
+    )
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -178,14 +211,13 @@ def learn(
     train_rows: int = 8000,
     least_documents: int = 4,
     least_weight: float = 1.5,
-    most_entries: int = 50_000,
 ) -> Lexicon:
     """A lexicon from labelled documents.
 
     At most ``train_rows`` documents of each label are used, those with the smallest hash
     of their id among the labels for which ``train`` holds; this bounds what is broadcast and what
-    reaches the driver. Half of them give the entries (``least_documents`` toxic ones at least, the
-    ``most_entries`` most frequent ones at most), the other half the curve, in which a row weighs as many usable
+    reaches the driver. Half of them give the entries (those in at least
+    ``least_documents`` toxic ones), the other half the curve, in which a row weighs as many usable
     labels as it stands for, so that scores keep the balance of all labels, however many are cut. Labels other than 0 and 1, null ids
     and ids with both labels are not used. Without labels all scores are one half.
     """
@@ -202,13 +234,13 @@ def learn(
     # No more than 2 * train_rows rows are broadcast.
     labelled = texts.join(F.broadcast(sample), "id").select("text", "label", "entry_half").cache()
     half = {x: labelled.where(F.col("entry_half") & (F.col("label") == x)) for x in (0, 1)}
-    counted = (
-        _document_counts(half[1]).where(F.col("documents") >= least_documents)
-        .orderBy(F.col("documents").desc(), "entry").limit(most_entries).collect()
-    )
+    # Entries of ``train_rows`` documents at most, so their number is bounded by the sample.
+    counted = _document_counts(half[1]).where(F.col("documents") >= least_documents).collect()
     toxic = {r["entry"]: r["documents"] for r in counted}
     clean = {r["entry"]: r["documents"] for r in _document_counts(half[0], frozenset(toxic)).collect()}
-    weights, exceptions = _chosen(toxic, clean, half[1].count(), half[0].count(), least_weight)
+    sizes = half[1].count(), half[0].count()
+    weights, exceptions = _chosen(toxic, clean, *sizes, least_weight)
+    exceptions |= _exception_phrases(half[1], half[0], weights, sizes, least_documents)
     lexicon = Lexicon(weights, exceptions)
     rows = _features(labelled.where(~F.col("entry_half")).select("text", "label"), lexicon, "label int").collect()
     labelled.unpersist()

@@ -113,6 +113,34 @@ def test_exceptions_void_hits_and_length_dilutes():
     assert (lexicon.score(np.array([short, (0.0, 0.0)])).round(6) > 0).all()
 
 
+def test_exception_phrases_void_hits_of_their_words_only():
+    lexicon = Lexicon({" trash": 3.0, " scum": 2.0}, frozenset({" trash can ", " pond scum "}), (0.0, 1.0, 1.0))
+    assert lexicon.features("the trash can and pond scum") == (0.0, 0.0)
+    assert lexicon.features("trash can trash")[1] == lexicon.features("trash x x")[1] > 0
+    assert lexicon.features("pond scum scum")[1] == lexicon.features("scum x x")[1] > 0
+    begins = frozenset(lexicon.weights)
+    assert toxicity.phrases_of("a trashy b scum".split(), begins) == {" a trashy ", " trashy b ", " b scum "}
+    assert toxicity.phrases_of(["trash"], begins) == toxicity.phrases_of([], begins) == set()
+
+
+def test_exception_phrases_are_learned(spark):
+    """An insult that is also half of a harmless phrase."""
+    draw, rows, labels = random.Random(5), [], []
+    for i in range(1200):
+        words = [f"{draw.choice('bcdfg')}{draw.choice('aeiou')}{draw.choice('klmnp')}" for _ in range(30)]
+        at, kind = draw.randrange(28), i % 8
+        if kind < 3:
+            words[at : at + 2] = [draw.choice(["grobian", "flegel"]), "du"]
+        elif i % 32 == 3:
+            words[at : at + 2] = ["flegel", "drusch"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind < 3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert lexicon.exceptions == {f" {' '.join(folded_words('flegel drusch'))} "}
+    assert lexicon.features("ein flegel drusch")[1] == 0 < lexicon.features("ein flegel")[1]
+
+
 def labelled(spark, n):
     draw = random.Random(2)
     bad, fine = ["grobian", "flegel", "dummkopf"], [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
