@@ -175,30 +175,40 @@ def mix_report(units: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def mixed(
-    docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", **options
+    docs: DataFrame,
+    size: Column,
+    likely: Column | None = None,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    **options,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as the mix takes them.
 
-    Rows of one unit are told apart by the order of a hash over all their columns.
-    Options are those of ``allocate``.
+    ``size`` and ``likely`` are expressions over ``docs``, whose columns may have any names. Rows of one unit
+    are told apart by the order of a hash over all their columns. Other options are those of ``allocate``.
     """
-    rows = docs.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0).cast("long")))
-    units = allocate(rows, F.col("_size"), id_col=id_col, source_col=source_col, **options)
+    # Columns of docs stay inside one struct, so none of them can clash with the numbers beside it.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").alias("src"),
+        F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("words"),
+        (F.lit(1.0) if likely is None else likely).cast("double").alias("likely"),
+    )
+    units = allocate(rows, F.col("words"), F.col("likely"), id_col="doc", source_col="src", **options)
     units = units.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.col("size").alias("_sz"),
-        F.col("n").alias("_n"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra"),
+        F.col("doc").alias("_doc"), F.col("src").alias("_src"), F.col("size").alias("_size"), "n", "whole", "extra"
     )
-    joined = rows.join(
+    joined = rows.drop("likely").join(
         units,
-        F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src"))
-        & (F.col("_size") == F.col("_sz")),
+        F.col("doc").eqNullSafe(F.col("_doc")) & F.col("src").eqNullSafe(F.col("_src"))
+        & (F.col("words") == F.col("_size")),
     )
-    alone = joined.where("_n = 1").withColumn("_copies", F.col("_whole") + F.col("_extra"))
+    alone = joined.where("n = 1").withColumn("copies", F.col("whole") + F.col("extra"))
     # Only rows that share id, source and size need numbers.
-    number = Window.partitionBy("_id", "_src", "_sz").orderBy(F.xxhash64(*docs.columns))
-    several = joined.where("_n > 1").withColumn("_at", F.row_number().over(number)).withColumn(
-        "_copies", F.col("_whole") + F.when(F.col("_at") <= F.col("_extra"), 1).otherwise(0)
-    ).drop("_at")
-    every = alone.unionByName(several).where("_copies > 0")
-    repeated = every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    number = Window.partitionBy("doc", "src", "words").orderBy(F.xxhash64("row"))
+    several = joined.where("n > 1").withColumn("at", F.row_number().over(number)).withColumn(
+        "copies", F.col("whole") + F.when(F.col("at") <= F.col("extra"), 1).otherwise(0)
+    ).drop("at")
+    every = alone.unionByName(several).where("copies > 0")
+    repeated = every.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

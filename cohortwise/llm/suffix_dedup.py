@@ -348,10 +348,13 @@ def drop_repeats(
     A character of which a byte was cut goes whole. Null texts stay null.
     """
     others = [c for c in docs.columns if c != text_col]
+    # The other columns go by number, in a struct of their own, so their names clash with none used here.
+    beside = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(None).cast("string")
     rows = docs.select(
-        F.struct(*others, F.col(text_col).isNull().alias("_null")).alias("row"), text_col
+        F.struct(beside.alias("others"), F.col(f"`{text_col}`").isNull().alias("is_null")).alias("row"),
+        F.col(f"`{text_col}`").alias("text"),
     )
-    result = dedup_substrings(rows, "row", text_col, length)
+    result = dedup_substrings(rows, "row", "text", length)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -362,8 +365,8 @@ def drop_repeats(
 
     kind = rows.schema["row"].dataType.simpleString()
     cut = result.select("row", "kept").mapInArrow(decode, f"row {kind}, kept string")
-    text = F.when(~F.col("row._null"), F.col("kept"))
-    columns = {c: F.col(f"row.`{c}`") for c in others} | {text_col: text}
+    text = F.when(~F.col("row.is_null"), F.col("kept"))
+    columns = {c: F.col(f"row.others.c{i}") for i, c in enumerate(others)} | {text_col: text}
     if size_col in columns:
         columns[size_col] = F.length(text).cast(docs.schema[size_col].dataType)
     return cut.select(*[columns[c].alias(c) for c in docs.columns])

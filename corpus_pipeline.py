@@ -41,7 +41,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     size = word_count(F.col("text"))
-    return mixing.mixed(docs, size, likely=likely_of(F.col("_size")), weights=SOURCE_WEIGHTS)
+    return mixing.mixed(docs, size, likely=likely_of(size), weights=SOURCE_WEIGHTS)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,3 +163,13 @@ def test_large_counts_are_dealt_out(spark):
     got = Counter(r["k"] for r in packing.numbered_copies(rows, 10).collect())
     assert got == {"a": 25, "b": 1, "c": 10, "d": 11}
     assert sorted(r["copy"] for r in packing.numbered_copies(rows, 10).where("k = 'a'").collect()) == list(range(25))
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    names = ["_size", "_copies", "_copy", "_id", "_doc", "_src", "_n", "_at", "n", "at", "row", "words", "copies", "a.b"]
+    fields = ", ".join(["doc_id long", "source string", "text string", *[f"`{c}` long" for c in names]])
+    rows = [(i % 30, f"s{i % 3}", "w " * (1 + i % 7), *range(777, 777 + len(names))) for i in range(60)]
+    docs = spark.createDataFrame(rows, fields)
+    got = mixing.mixed(docs, F.size(F.split(F.trim("text"), " "))).collect()
+    assert got and all(tuple(r)[3:] == tuple(range(777, 777 + len(names))) for r in got)
+    assert got[0].__fields__ == docs.columns

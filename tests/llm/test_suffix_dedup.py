@@ -82,3 +82,13 @@ def test_null_ids_repeated_rows_and_all_columns(docs_of):
         ("1", "", 0), ("1", "", 0), ("2", None, None), ("3", "é" * 10, 10), ("None", "", 0),
     ]
     assert dedup_substrings(docs_of([])).count() == 0
+
+
+def test_drop_repeats_keeps_columns_of_any_name(spark):
+    names = ["_null", "row", "others", "is_null", "kept", "z", "k1", "spans", "id", "a.b"]
+    fields = ", ".join(["doc_id long", "text string", *[f"`{c}` long" for c in names]])
+    long = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(300))
+    rows = [(i, t, *range(777, 777 + len(names))) for i, t in enumerate([long + "x", "y" + long, None, "", "short"])]
+    got = sorted(suffix_dedup.drop_repeats(spark.createDataFrame(rows, fields), length=100).collect())
+    assert [r["text"] for r in got] == ["x", "y", None, "", "short"]
+    assert all(tuple(r)[2:] == tuple(range(777, 777 + len(names))) for r in got)
