@@ -108,8 +108,8 @@ class Lexicon:
             else:
                 voided.append((start, end))
         for start, end in voided:
-            for at in [x for x in at_word if start <= x < end]:
-                del at_word[at]
+            for at in range(start, end):
+                at_word.pop(at, None)
         total = sum(at_word.values())
         return total / (len(words) + 20), float(np.log1p(total))
 
