@@ -7,9 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.operators.features import all_metrics
-from cohortwise.operators.rollups import attendance_days, concept_months
 from cohortwise.plans import activity, cohorts, overview, scores
+from cohortwise.plans.shared import SHARED
 from cohortwise.sources.files import load_table
 from cohortwise.sources.sinks import materialize
 from cohortwise.sources.tables import TABLES, CohortTables
@@ -45,15 +44,9 @@ def refresh_all(
         materialize(tables.get(name), root, f"raw_{name}", skip_empty=False)
         done[f"raw_{name}"] = True
     raw = stored(spark, root)
-    shared = {
-        "student_metrics": all_metrics(raw),
-        "attendance_days": attendance_days(raw, "group_id", "day"),
-        "concept_months": concept_months(raw, "concept_name", "course_id", "start"),
-        "score_sketches": scores.score_sketches(raw),
-    }
     t = raw
-    for name, df in shared.items():
-        materialize(df, root, f"shared_{name}", skip_empty=False)
+    for name, build in SHARED.items():
+        materialize(build(raw), root, f"shared_{name}", skip_empty=False)
         t = t.with_table(name, load_table(spark, root, f"shared_{name}"))
 
     results = {

@@ -39,6 +39,10 @@ class CohortTables:
     def has(self, name: str) -> bool:
         return name in self._providers
 
+    def with_providers(self, more: Mapping[str, Provider]) -> CohortTables:
+        """The same tables and more, or some replaced, each assembled when it is asked for."""
+        return CohortTables(self._providers | dict(more))
+
     def with_table(self, name: str, df: DataFrame) -> CohortTables:
         """The same tables and one more, or one replaced."""
         more = CohortTables.from_frames({name: df})
