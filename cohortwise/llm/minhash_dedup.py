@@ -6,13 +6,13 @@ densification), which keeps bins independent also for short texts. Bands of the
 signature are bucket keys. Within a bucket every member is first tied to a few hub
 members only, so a group of copies makes as many pairs as members and not their
 square; every tie is then confirmed on the whole shingle sets. Members of crowded
-buckets that this leaves in different components take a new signature with more bins
-to a band, so that their buckets get small, and are tied to hubs again.
+buckets that this leaves in different components are compared exactly: they meet in
+their rarest shingles, in few of the smaller set and a few more of the larger one,
+and only where as many shingles follow as the two must share.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +31,6 @@ _MIX_A, _MIX_B, _MIX_C = (
 )
 _PROBES = 64
 
-#: Bins to a band of the finer signatures, round by round; every band of a permutation; what a round may miss.
-_FINER_ROWS, _BANDS_EACH, _MISSED = (12, 18), 16, 1e-3
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX_B
@@ -151,18 +148,14 @@ def _fit(left: str, right: str, percent: int):
 
 
 def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, hubs) of the buckets with two members or more; of two components, where these are known.
+    """(members, hubs) of the buckets with two members or more.
 
     The hubs are the member that meets the most others over all its buckets (the
     middle of a group of copies), the one with the smallest id, and one drawn by
     hash for this bucket.
     """
-    known = "component" in classes.columns
-    member = F.struct("id", "n", "set_id", *["component"] * known)
-    bands = classes.select(member.alias("m"), F.explode("bands").alias("key"))
-    spread = [F.min("m.component").alias("low"), F.max("m.component").alias("high")] if known else []
-    wanted = "low <> high" if known else "size > 1"
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *spread).where(wanted).select("key", "size")
+    bands = classes.select(F.struct("id", "n", "set_id").alias("m"), F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowded = pinned(bands.join(shared, "key"))
     degree = crowded.groupBy(F.col("m.set_id").alias("set_id")).agg(F.sum("size").alias("degree"))
     placed = crowded.withColumn("set_id", F.col("m.set_id")).join(degree, "set_id")
@@ -179,11 +172,9 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _star_edges(crowded: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs: in each bucket every member with the hubs, if they aren't known to be linked."""
+    """Candidate pairs: in each bucket every member with the hubs."""
     ties = crowded.join(hubs, "key").select("m", F.explode("hubs").alias("hub"))
     fits = _fit("m", "hub", percent) & (F.col("m.set_id") != F.col("hub.set_id"))
-    if "component" in crowded.schema["m"].dataType.names:
-        fits &= F.col("m.component") != F.col("hub.component")
     return ties.where(fits).select(*_as_edges("m", "hub")).distinct()
 
 
@@ -204,35 +195,51 @@ def _apart(crowded: DataFrame, hubs: DataFrame, linked: DataFrame) -> DataFrame:
     return free.join(torn, "key", "left_semi").select("id", "n", "set_id", "component").distinct()
 
 
-def _finer(apart: DataFrame, sets: DataFrame, rows: int, percent: int) -> DataFrame:
-    """``apart`` with the ``bands`` of a new signature, ``rows`` bins to a band.
+def _rare_edges(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs: all members of different components that can be similar enough.
 
-    There are as many bands as leave a pair at ``percent`` hundredths apart with probability ``_MISSED``.
-    They come from several permutations of ``_BANDS_EACH`` bands, so that short sets need not fill long signatures.
+    Shingles are put in order of rarity. With J = ``percent`` / 100, sets of n <= m shingles that are similar enough share
+    at least J / (1 + J) * (n + m), so the first one they share is among the first n - 2J / (1 + J) * n of the smaller set,
+    one more counted, among the first m - J * m of the larger, and in both as many as they must share stand from there
+    on. In a family that is not linked its common shingles come too late for the first of these, so they make no pairs.
+    Shingles of one component only come first of all, as no wanted pair shares them.
     """
-    bands = math.log(_MISSED) / math.log1p(-((percent / 100) ** rows)) if percent < 100 else 1
-    draws = range(math.ceil(bands / _BANDS_EACH))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            found = []
-            for hashed in batch.column(1):
-                own = hashed.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                keys = []
-                for draw in draws:
-                    salt = _mix(np.full(1, rows * 0x10000 + draw + 1, np.uint64))
-                    drawn = np.sort(_mix(own * _MIX_A + salt))
-                    key = band_keys(signature(drawn, rows * _BANDS_EACH), rows).view(np.uint64)
-                    keys.append(_mix(key + salt).view(np.int64))
-                found.append(np.concatenate(keys))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["set_id", "bands"]
-            )
-
-    wanted = sets.join(apart.select("set_id"), "set_id", "left_semi").select("set_id", "shingles")
-    # A long row makes hundreds of keys, so the rows are dealt out over all tasks.
-    dealt = wanted.repartition(apart.sparkSession.sparkContext.defaultParallelism, "set_id")
-    return apart.join(dealt.mapInArrow(sketch, "set_id binary, bands array<long>"), "set_id")
+    tokens = apart.join(sets, "set_id").select(
+        F.struct("id", "n", "set_id", "component").alias("m"), F.explode("shingles").alias("shingle")
+    )
+    spread = tokens.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("holders"),
+        F.min("m.component").alias("low"), F.max("m.component").alias("high"),
+    ).where("low <> high").select("shingle", "holders")
+    common = tokens.join(spread, "shingle").groupBy("m").agg(
+        F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("common")
+    )
+    n = F.col("m.n")
+    least = F.ceil(n * percent / F.lit(100)).cast("int")
+    rarest = F.slice("common", F.lit(1), F.size("common") - least + 1)
+    rest = (F.size("common") - F.col("place")).cast("long")  # this shingle and those after it
+    rare = pinned(
+        common.where(F.size("common") >= least)
+        .select("m", "common", F.posexplode(rarest).alias("place", "r"))
+        .select("m", "r.shingle", rest.alias("rest"), (rest * (100 + percent) >= n * (2 * percent)).alias("early"))
+    )
+    # The largest component of a shingle's holders isn't compared with itself.
+    held = rare.groupBy("shingle", "m.component").agg(F.count(F.lit(1)).alias("k"), F.max("early").alias("early"))
+    held = held.groupBy("shingle").agg(
+        F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components"),
+        F.max("early").alias("early"),
+    ).where("components > 1 and early").select("shingle", "main")
+    others = pinned(
+        rare.join(held, "shingle").where("m.component <> main")
+        .select("shingle", F.col("m").alias("o"), F.col("rest").alias("o_rest"), F.col("early").alias("o_early"))
+    )
+    smaller = F.struct("o.n", "o.set_id") < F.struct("m.n", "m.set_id")
+    shared = F.least("rest", "o_rest") * (100 + percent) >= (F.col("o.n") + n) * percent
+    met = others.join(rare, "shingle").where(
+        (F.col("o.component") != F.col("m.component")) & _fit("o", "m", percent) & shared
+        & F.when(smaller, F.col("o_early")).otherwise(F.col("early"))
+    )
+    return met.select(*_as_edges("o", "m")).distinct()
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,15 +279,8 @@ def _linked(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> D
     if apart.isEmpty():
         return linked
     sets = sets_of(apart.select("id").distinct())
-    for rows in _FINER_ROWS:
-        crowded, hubs = _buckets(pinned(_finer(apart, sets, rows, percent)))
-        links = pinned(_confirmed(_star_edges(crowded, hubs, percent), sets, percent))
-        if links.isEmpty():
-            break
-        linked = _joined(linked, links)
-        if rows < _FINER_ROWS[-1]:
-            apart = pinned(_apart(crowded, hubs, linked))
-    return linked
+    links = pinned(_confirmed(_rare_edges(apart, sets, percent), sets, percent))
+    return linked if links.isEmpty() else _joined(linked, links)
 
 
 def near_duplicates(
@@ -299,10 +299,8 @@ def near_duplicates(
     words link with nothing. Rows with equal sets form one class and enter the
     search once. A row without an id is linked with nothing, has no component and
     is kept. Rows that share an id but not their text are judged by their text.
-    With 32 bands of 5 bins a pair at 0.8 shares no bucket with probability 3e-6. In a bucket members are
-    compared with three hubs; where that leaves uncompared members in different components, rounds with 12 and 18
-    bins to a band follow, unless the round before found no link. In each a pair at 0.8 shares no bucket with
-    probability 0.001. So pairs grow with the members; one that meets no hub in any round's buckets is missed.
+    With 32 bands of 5 bins a pair at 0.8 shares no bucket with probability 3e-6; a pair that shares one
+    is compared, unless other links tie it already.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = pinned(_sketches(texts, words, bins, rows))

@@ -7,7 +7,7 @@ from brute import near_duplicates as brute
 from brute import shingles
 from cohortwise.llm.components import components
 from cohortwise.llm.minhash_dedup import (
-    drop_near_duplicates, near_duplicates, shingle_set, signature,
+    _rare_edges, drop_near_duplicates, near_duplicates, shingle_set, signature,
 )
 
 ROWS = [
@@ -72,6 +72,47 @@ def test_copies_inside_a_family_are_found(docs_of):
     assert as_dict(near_duplicates(docs_of(rows), words=4)) == want
 
 
+def rare_edges(spark, sets, percent, component=lambda i: i):
+    """Pairs of places in ``sets`` that are to be compared."""
+    names = [f"{(i * 7919) % 100_003:06d}".encode() for i in range(len(sets))]
+    apart = [(i, len(s), bytearray(names[i]), component(i)) for i, s in enumerate(sets)]
+    edges = _rare_edges(
+        spark.createDataFrame(apart, "id long, n long, set_id binary, component long"),
+        spark.createDataFrame([(bytearray(n), sorted(s)) for n, s in zip(names, sets, strict=True)], "set_id binary, shingles array<long>"),
+        percent,
+    ).collect()
+    assert all(bytes(r["x"]) == names[r["a"]] and bytes(r["y"]) == names[r["b"]] and r["x"] < r["y"] for r in edges)
+    return {tuple(sorted((r["a"], r["b"]))) for r in edges}
+
+
+def similar(sets, percent):
+    return {
+        (i, j) for j in range(len(sets)) for i in range(j)
+        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    }
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_no_similar_pair_of_different_components_is_left_out(spark, percent, parts):
+    draw, sets = random.Random(percent), []
+    for _ in range(12):
+        base = draw.sample(range(200), draw.choice([4, 9, 20, 60, 100]))
+        for _ in range(8):
+            kept = draw.sample(base, len(base) - draw.randrange(draw.choice([2, len(base) // 4 + 1])))
+            sets.append(set(kept) | set(draw.sample(range(200), draw.randrange(draw.choice([2, len(base) // 6 + 1])))))
+    sets = [set(s) for s in dict.fromkeys(map(frozenset, sets))]
+    component = (lambda i: i) if parts == 1 else (lambda i: i % parts)
+    want = {(i, j) for i, j in similar(sets, percent) if component(i) != component(j)}
+    assert want and want <= rare_edges(spark, sets, percent, component)
+
+
+def test_a_family_makes_no_square_of_pairs(spark):
+    sets = [set(map(int, shingle_set(text, 4).view(np.int64))) for _, text in family(1, 300, 15)]
+    found, want = rare_edges(spark, sets, 80), similar(sets, 80)
+    assert len(want) == 15 and want <= found and len(found) <= 2 * len(sets)
+
+
 def test_null_ids_repeated_rows_and_clashing_names(docs_of):
     rows = [(1, "a b c d e")] * 3 + [(None, "a b c d e"), (None, None), (0, "a b c d e")]
     got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_duplicates(docs_of(rows)).collect())
