@@ -1,4 +1,6 @@
+import os
 import random
+import threading
 from collections import Counter
 
 import numpy as np
@@ -6,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import best_products, linked_vectors
+from cohortwise.llm import embedding_dedup
 from cohortwise.llm.embedding_dedup import Tile, forest, linked_pairs, near_vectors, unit_rows
 from cohortwise.llm.topk_search import SlicedBlock, add_slices, slices_of, top_by_product
 
@@ -43,6 +46,46 @@ def test_links_equal_brute_force(spark, tile_rows, threshold):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("held", [1 << 20, -(1 << 20)])
+def test_bands_one_by_one_and_folded(spark, monkeypatch, kind, held):
+    monkeypatch.setattr(embedding_dedup, "_HELD", held)
+    rows = clustered(4, 90) + ODD
+    found = near_vectors(frame(spark, rows, kind), threshold=0.8, tile_rows=7, band_bytes=2000).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == linked_vectors(rows, 0.8)
+
+
+def test_disk_grows_with_the_vectors_not_with_their_tiles(spark):
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    df = frame(spark, clustered(6, 1600, 128)).localCheckpoint()
+
+    def held():
+        sizes = 0
+        for folder in folders:
+            for at, _, names in os.walk(folder):
+                for name in names:
+                    try:
+                        sizes += os.stat(f"{at}/{name}").st_size
+                    except OSError:  # gone meanwhile
+                        pass
+        return sizes
+
+    before, most, over = held(), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not over.wait(0.02):
+            most = max(most, held())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    found = near_vectors(df, tile_rows=64).count()
+    over.set()
+    watcher.join()
+    # 800 kB of floats; over 20 MB if each tile is sent to all others.
+    assert found == 1600 and max(most, held()) - before < 4e6
+
+
 def test_copies_null_ids_and_no_rows(spark):
     v, w = [1.0, 0.0], [0.0, 1.0]
     rows = [(5, v), (3, v), (9, v), (9, v), (4, w), (None, v), (None, None)]
