@@ -24,7 +24,8 @@ from cohortwise.llm.components import components
 from cohortwise.llm.vectors import doubles, is_finite
 from cohortwise.session import stored
 
-_BLOCK = 128  # rows of a tile multiplied at once
+_BLOCK = 256  # rows of a tile multiplied at once
+_PART = 1 << 18  # pairs counted and tied at once, at least if there are as many
 _EXACT = 1000  # components whose int8 products add up exactly in single precision
 _SLACK = 1e-9  # rounding of the bounds themselves, far above that of a double
 _HELD = 1 << 20  # rows from bands, besides two for each vector, that are kept before they are folded
@@ -74,10 +75,12 @@ def linked_pairs(x: Tile, y: Tile, threshold: float) -> Iterator[tuple[np.ndarra
         # A bound per row of x first: below it no vector of y can reach the threshold.
         loose = x.error[part] * top_length + x.length[part] * top_error + x.error[part] * top_error
         least = (threshold - loose - _SLACK) / (x.scale[part] * top_scale)
-        at = np.flatnonzero((product >= (least * (1 - 1e-6) - 1).astype(np.float32)[:, None]).ravel())
-        i, j = at // len(y), at % len(y)
-        near = product.ravel()[at].astype(np.float64)
-        i = i + begin
+        least = (least * (1 - 1e-6) - 1).astype(np.float32)
+        rows = np.flatnonzero(product.max(axis=1) >= least)
+        product = product[rows]
+        i, j = np.divmod(np.flatnonzero((product >= least[rows, None]).ravel()), len(y))
+        near = product[i, j].astype(np.float64)
+        i = rows[i] + begin
         near *= x.scale[i] * y.scale[j]
         bound = x.error[i] * y.length[j] + x.length[i] * y.error[j] + x.error[i] * y.error[j] + _SLACK
         sure = near - bound >= threshold
@@ -104,6 +107,19 @@ def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs in fewer parts: whatever is found until there are _PART pairs or no more."""
+    held = []
+    for i, j in pairs:
+        if len(i):
+            held.append((i, j))
+        if sum(len(x) for x, _ in held) >= _PART:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _spanning(n: int, u: np.ndarray, v: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewer than n pairs that link what the pairs (u, v) link; ``place`` maps nodes to larger numbers."""
     label = forest(n, [(u, v)])
@@ -146,16 +162,14 @@ class Band:
                 continue
             start, same = self.starts[its_dims, its_place], its_place == place
             rows, counted = start + np.arange(len(x)), self.count[start : start + len(x)]
-            for i, j in linked_pairs(x, y, threshold):
+            for i, j in _gathered(linked_pairs(x, y, threshold)):
                 if same:
                     i, j = i[i != j], j[i != j]
-                if len(i):
-                    np.add.at(counted, i, copies[j])
-                    if same:
-                        ties.append(_spanning(len(x), i, j, rows))
-                    else:
-                        np.add.at(count, j, self.copies[start + i])
-                        ties.append(_spanning(len(x) + len(y), i, j + len(x), np.concatenate([rows, own])))
+                    ties.append(_spanning(len(x), i, j, rows))
+                else:
+                    np.add.at(count, j, self.copies[start + i])
+                    ties.append(_spanning(len(x) + len(y), i, j + len(x), np.concatenate([rows, own])))
+                np.add.at(counted, i, copies[j])
         if ties:
             n = size if inside else size + len(y)
             before = np.flatnonzero(self.label != np.arange(size))
@@ -259,6 +273,11 @@ def _links(band: Broadcast, kind: str, threshold: float) -> Callable[[Iterator[p
     return links
 
 
+def _sent(tiles: DataFrame) -> Broadcast:
+    rows = sorted(tuple(r) for r in tiles.select(_PACKED).collect())
+    return tiles.sparkSession.sparkContext.broadcast(rows)
+
+
 def _folded(found: DataFrame) -> DataFrame:
     """At most two rows for each id that say the same as ``found``: its links, and its component."""
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -277,8 +296,7 @@ def _link_rows(tiles: DataFrame, threshold: float, kind: str, band_bytes: int) -
     heads = sorted(tuple(r) for r in tiles.select("dims", "place", "rows").collect())
     size, vectors = 0, sum(rows for _, _, rows in heads)
     for inside, meets in _bands(heads, band_bytes, np.dtype(kind).itemsize):
-        rows = sorted(tuple(r) for r in tiles.where(inside).select(_PACKED).collect())
-        band = spark.sparkContext.broadcast(rows)
+        band = _sent(tiles.where(inside))
         found = tiles.where(meets).select(_PACKED).coalesce(tasks).mapInArrow(
             _links(band, kind, threshold), "id long, links long, root long"
         )
